@@ -26,7 +26,7 @@ _COMMA_ELEM = re.compile(r'[^,"]*')
 _ET_AL = re.compile(r"[\s,;|/]*\bet\.?\s*al\b\.?\s*$", re.I)
 _AND = re.compile(r"\s*,?\s+(?:and|&)\s+|\s*,\s*&\s*", re.I)
 _INITIALS = re.compile(r"(?:[^\W\d_]\.?[\s-]*){1,5}$")
-_SUFFIX = re.compile(r"(?:Jr|Sr|I{1,3}|IV)\.?$", re.I)
+_SUFFIX = re.compile(r"(?:[JS]r\.?|II|III|IV)$")
 
 
 def _unquote(body: str) -> str:
@@ -90,11 +90,11 @@ def _commas_people(s: str) -> list[str]:
     out: list[str] = []
     half = False
     for p in pieces:
-        if out and len(p) > 1 and _SUFFIX.match(p):
-            out[-1] += ", " + p
-        elif half:
+        if half:
             out[-1] += ", " + p
             half = False
+        elif out and _SUFFIX.match(p):
+            out[-1] += ", " + p
         else:
             out.append(p)
             half = True
