@@ -505,3 +505,17 @@ def garbled(df: DataFrame, key: str, column: str, counts: dict[tuple[str, str, s
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x, pa.string()) for x in (old, new, states))], ["record_id", "original", "restored", "states"])
 
     return slim.mapInArrow(run, "record_id bigint, original string, restored string, states string")
+
+
+def ungarbled(df: DataFrame, key: str, column: str, counts: dict[tuple[str, str, str], int]) -> DataFrame:
+    """(record_id, original) of the rows with non-ASCII characters whose text is not garbled."""
+    slim = df.select(F.col(key).cast("bigint").alias("record_id"), F.col(column).cast("string").alias("original")).where(F.col("original").rlike(_DIFFER))
+    shared = df.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clean = Clean(shared.value)
+        for batch in batches:
+            keep = pa.array([not label(t, clean) for t in batch.column(1).to_pylist()], pa.bool_())
+            yield batch.filter(keep)
+
+    return slim.mapInArrow(run, "record_id bigint, original string")
