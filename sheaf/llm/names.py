@@ -40,6 +40,9 @@ NICKNAMES = {
     "samuel": "sam sammy", "stephanie": "steph steffi", "steven": "steve", "susan": "sue suzie susie", "thomas": "tom tommy", "timothy": "tim timmy", "victoria": "vicky vicki tori", "william": "will bill billy liam",
 }
 
+#: Different given names that are one letter apart.
+CONFUSED = frozenset(map(frozenset, (("andrew", "andre"), ("thomas", "tomas"), ("jon", "jan"), ("maria", "mario"), ("carlo", "carla"), ("daniel", "daniela"), ("michael", "michaela"), ("gabriel", "gabriele"), ("eric", "erica"), ("paul", "paula"), ("robert", "roberta"), ("marc", "mara"), ("john", "joan"), ("julia", "julie"), ("joan", "jean"), ("alan", "alana"), ("hans", "hana"), ("ann", "anna"))))
+
 _FULL: dict[str, frozenset[str]] = {}
 for _name, _short in NICKNAMES.items():
     for _s in _short.split():
@@ -53,12 +56,32 @@ _QUOTES = re.compile("['’‘`´ʼ]")
 _DASHES = re.compile("[‐‑‒–—−]")
 
 
+def _simple() -> dict[int, str | None]:
+    """One table for what most names need: base letters, look-alikes, no quotes and invisible characters."""
+    table: dict[int, str | None] = {}
+    for point in range(0xA0, 0x250):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(point).lower().translate(_LETTER)) if not unicodedata.combining(c))
+        if plain.isascii():
+            table[point] = plain
+    table.update({ord(a.lower()): b.lower() for a, b in zip(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS)})
+    table.update(dict.fromkeys(map(ord, "'’‘`´ʼ\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff")))
+    table.update(dict.fromkeys(map(ord, "‐‑‒–—−"), "-"))
+    return table
+
+
+_SIMPLE = _simple()
+_MARKS = re.compile("[\u0300-\u036f]")
+
+
 def fold(text: str) -> str:
     """Lower case, Latin look-alikes, no accents, apostrophes or invisible characters."""
     if text.isascii():
-        return _QUOTES.sub("", text.lower())
+        return text.lower().replace("'", "").replace("`", "")
+    s = text.lower().translate(_SIMPLE)
+    if s.isascii():
+        return s
     s = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).translate(_ALIKE).lower().translate(_LETTER)
-    s = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+    s = _MARKS.sub("", unicodedata.normalize("NFKD", s))
     return _QUOTES.sub("", _DASHES.sub("-", s))
 
 
@@ -93,7 +116,7 @@ def parse(text: str) -> Name | None:
         nick = fold(m.group(1)).strip()
         raw = _BRACKETS.sub(" ", raw)
     before, comma, after = raw.partition(",")
-    if comma and all(t in LETTERS for t in fold(after).replace(".", "").replace(",", " ").split()):
+    if comma and sum(w not in PARTICLES for w in fold(before).split()) > 1 and all(t in LETTERS for t in fold(after).replace(".", "").replace(",", " ").split()):
         raw, comma = before, ""
     if comma:
         family = _words(before)
@@ -144,16 +167,31 @@ def _close(a: str, b: str) -> int:
     """0 the same, 1 or 2 typing errors that their lengths allow, 9 otherwise."""
     if a == b:
         return 0
-    shorter = min(len(a), len(b))
-    most = 0 if shorter < 4 else 1 if shorter < 7 else 2
-    if not most:
-        return 9
-    if a[:3] != b[:3] and a[-3:] != b[-3:] and (a[:2] != b[:2] or a[-2:] != b[-2:]):  # errors at both ends
+    la, lb = len(a), len(b)
+    short = min(la, lb)
+    most = 0 if short < 4 else 1 if short < 7 else 2
+    if not most or abs(la - lb) > most:
         return 9
+    i = 0
+    while i < short and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < short - i and a[la - 1 - j] == b[lb - 1 - j]:
+        j += 1
+    if i + j < short - 2 * most:  # more than the errors' own letters differ between the equal ends
+        return 9 if most == 1 or i + j < 3 else _far(a, b)
     d = distance(a, b, most)
     return d if d <= most else 9
 
 
+def _far(a: str, b: str) -> int:
+    """Two errors far apart, by the letters' counts before the distance itself."""
+    if sum(a.count(c) != b.count(c) for c in set(a + b)) > 4:
+        return 9
+    d = distance(a, b, 2)
+    return d if d <= 2 else 9
+
+
 @lru_cache(maxsize=100_000)
 def _same_given(a: str, b: str) -> int:
     """0 the same, 1 a short form, 2 a typing error, 9 another name."""
@@ -162,16 +200,26 @@ def _same_given(a: str, b: str) -> int:
     fa, fb = _FULL.get(a, frozenset()) | {a}, _FULL.get(b, frozenset()) | {b}
     if fa & fb:
         return 1
+    if frozenset((a, b)) in CONFUSED:
+        return 9
     if _close(a, b) <= 1 or any(_close(x, y) <= 1 for x in fa for y in fb if len(x) > 4 and len(y) > 4):
         return 2
+    if abs(len(a) - len(b)) <= 2 and distance(a, b, 2) <= 2:
+        return 3
     return 9
 
 
-def _first_letters(n: Name) -> set[str]:
-    out = {n.initials[:1]} if n.initials else set()
+@lru_cache(maxsize=100_000)
+def _letters_of(given: str) -> frozenset[str]:
+    return frozenset({given[0]} | {f[0] for f in _FULL.get(given, ())} | {s[0] for f in _FULL.get(given, frozenset()) | {given} for s in NICKNAMES.get(f, "").split()})
+
+
+def _first_letters(n: Name) -> frozenset[str]:
+    """First letters that the given name may be shortened to, those of its short forms included."""
+    out = frozenset(n.initials[:1])
     for g in (n.full, n.nick):
         if g:
-            out |= {g[0]} | {f[0] for f in _FULL.get(g, ())}
+            out |= _letters_of(g)
     return out
 
 
@@ -185,31 +233,31 @@ def _family_given(a: Name, b: Name) -> tuple[int, str, str] | None:
             d = _close(f, y.family)
             if d < 9 and y.full and _same_given(g, y.full) < 9:
                 return d, *((g, y.full) if not swap else (y.full, g))
-            if d == 0 and not y.full and y.initials[:1] == g[0]:
-                return -1, "", ""
+            if d < 9 and not y.full and y.initials[:1] in _letters_of(g):
+                return -1 - d, "", ""
     return None
 
 
 def score(a: Name, b: Name) -> int:
-    """How well two spellings agree: 6 to 10 with given names, 4 and 6 by initials, 0 not at all; -1: family name alike, given names of two people."""
+    """How well two spellings agree: 7 to 10 with given names, 4 to 6 by initials, 3 with more errors, 0 not at all; -1: family name alike, given names of two people."""
     found = _family_given(a, b)
     if found is None:
         return 0
     if found[0] < 0:
-        return 6
+        return 6 if found[0] == -1 else 3
     family, ga, gb = found
     swapped = ga != a.full or gb != b.full
     if ga and gb:
         same = min(_same_given(x, y) for x in {ga, a.nick or ga} for y in {gb, b.nick or gb})
         if same and (ga == "".join(b.given) or gb == "".join(a.given)):
-            return 10 - min(family, 2)
-        if same == 9 or (same == 2 and family > 1):
-            return -1 if same == 9 and family == 0 else 0
+            return 3 if family > 1 else 10 - family
+        if same == 3 or same == 9 or (same == 2 and family > 1):
+            return -1 if same == 9 and family == 0 else 3 if same == 3 and family == 0 else 0
         if not swapped and len(a.initials) > 1 and len(b.initials) > 1:
             ma, mb = _middle(a), _middle(b)
             if ma and mb and ma[0] != mb[0]:
                 return -1
-        return (10, 9, 8)[same] - (family > 0) - (family > 1)
+        return 3 if family > 1 else (10, 9, 8)[same] - family
     if not a.initials or not b.initials:
         return 0
     fa, fb = _first_letters(a), _first_letters(b)
@@ -219,7 +267,8 @@ def score(a: Name, b: Name) -> int:
         n = min(len(a.initials), len(b.initials))
         if a.initials[1:n] != b.initials[1:n] and not (_middle(a) and _middle(b) and _middle(a)[0] == _middle(b)[0]):
             return 0
-    return 6 if family == 0 else 4 if family == 1 else 0
+    direct = a.initials[0] == b.initials[0]
+    return (6 if direct else 5) if family == 0 else (4 if direct and family == 1 else 3)
 
 
 def _middle(n: Name) -> str:
@@ -377,21 +426,25 @@ def author_entries(papers: DataFrame, paper_id: str, person_key: str, authors: s
     return slim.where(F.col("authors").isNotNull()).join(who, "key").select("paper_id", "key", "authors", "name", "longest").mapInArrow(_own_entry, "paper_id bigint, key bigint, pos int, entry string, name string")
 
 
+def _hints(n: Name) -> tuple[str, ...]:
+    """Beginnings and ends of the family name, one of which every entry of the person holds."""
+    families = [n.family, *([n.other[0]] if n.other else [])]
+    return tuple(dict.fromkeys(x for f in families for x in ((f[:3], f[-3:]) if len(f) > 3 else (f,))))
+
+
 def _own_entry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    lists: dict[str, list[tuple[int, str, Name]]] = {}
     for b in batches:
         rows = []
         for paper, key, authors, name, longest in zip(*(c.to_pylist() for c in b.columns)):
-            entries = lists.get(authors)
-            if entries is None:
-                entries = [(pos, v, n) for pos, v, _ in peg.parse(authors, True) if (n := parse(v)) is not None]
-                if len(lists) > 5_000:
-                    lists.clear()
-                lists[authors] = entries
             own = [n for n in {parse(name), parse(longest)} if n is not None]
-            best, found = 3, None
-            for pos, v, n in entries:
-                s = max(score(n, o) for o in own)
+            hints = {h for n in own for h in _hints(n)}
+            best, found = 2, None
+            for pos, v, _ in peg.parse(authors, True):
+                flat = fold(v).replace("-", "").replace(" ", "")
+                if not any(h in flat for h in hints):
+                    continue
+                n = parse(v)
+                s = max(score(n, o) for o in own) if n is not None else 0
                 if s > best:
                     best, found = s, (paper, key, pos, v, name)
             if found:
