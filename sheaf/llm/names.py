@@ -63,7 +63,7 @@ def _simple() -> dict[int, str | None]:
         plain = "".join(c for c in unicodedata.normalize("NFKD", chr(point).lower().translate(_LETTER)) if not unicodedata.combining(c))
         if plain.isascii():
             table[point] = plain
-    table.update({ord(a.lower()): b.lower() for a, b in zip(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS)})
+    table.update({ord(a): b for a, b in zip(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS)})
     table.update(dict.fromkeys(map(ord, "'’‘`´ʼ\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff")))
     table.update(dict.fromkeys(map(ord, "‐‑‒–—−"), "-"))
     return table
@@ -77,9 +77,9 @@ def fold(text: str) -> str:
     """Lower case, Latin look-alikes, no accents, apostrophes or invisible characters."""
     if text.isascii():
         return text.lower().replace("'", "").replace("`", "")
-    s = text.lower().translate(_SIMPLE)
+    s = text.translate(_SIMPLE)
     if s.isascii():
-        return s
+        return s.lower()
     s = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).translate(_ALIKE).lower().translate(_LETTER)
     s = _MARKS.sub("", unicodedata.normalize("NFKD", s))
     return _QUOTES.sub("", _DASHES.sub("-", s))

@@ -24,6 +24,7 @@ _DOI = re.compile(r"(?:^|[^0-9])(10\.\d{4,9}/[^\s?#\"<>]+)")
 _CUT = re.compile(r"(?:…|\.\.\.|\[…\])\W*$")
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _WORD = re.compile(r"[\w�]+")
+_LOST_DASH = re.compile(r"(?<=\d)�+(?=\d)")
 _SUBTITLE = re.compile(r"\s*[:?]\s+|\s+[–—-]\s+|\.\s+")
 
 
@@ -38,7 +39,7 @@ def complete_doi(value: str | None) -> str | None:
 
 def title_words(title: str) -> list[str]:
     """The words of a title without markup, case, accents, look-alikes, invisible characters and punctuation."""
-    folded = names.fold(_TAG.sub(" ", title)).replace("&", " and ").replace("_", " ")
+    folded = _LOST_DASH.sub(" ", names.fold(_TAG.sub(" ", title)).replace("&", " and ").replace("_", " "))
     return [w for w in (re.sub("�+", "�", x) for x in _WORD.findall(folded)) if w != "�"]
 
 
@@ -150,8 +151,8 @@ def group_deliveries(rows: DataFrame) -> DataFrame:
     errors join the one paper they fit, with fitting year and venue. Generic titles go by DOI alone.
     """
     nodes = materialized(
-        rows.groupBy("owner", "doi", "words", "main", "cut", "generic").agg(
-            F.min("id").alias("node"), F.min("year").alias("y1"), F.max("year").alias("y2"), F.min("venue").alias("v1"), F.max("venue").alias("v2")
+        rows.groupBy("owner", "doi", "words", "cut").agg(
+            F.max("main").alias("main"), F.max("generic").alias("generic"), F.min("id").alias("node"), F.min("year").alias("y1"), F.max("year").alias("y2"), F.min("venue").alias("v1"), F.max("venue").alias("v2")
         )
     )
     by_doi = nodes.where("doi is not null").select("node", _hub(F.lit("D"), "owner", "doi").alias("hub"))
@@ -209,7 +210,13 @@ def _soft_links(nodes: DataFrame) -> DataFrame:
     half = F.floor(n / 2)
     halves = whole.where(n >= 4).withColumn("block", F.explode(F.array(F.concat(F.lit("1 "), part(1, half)), F.concat(F.lit("2 "), part(half + 1, n)))))
     pairs = fitting(halves, halves, (F.col("a_label") < F.col("b_label")) & (F.size(F.split("a_words", " ")) == F.size(F.split("b_words", " "))) & (F.col("a_words") != F.col("b_words")))
-    pairs = pairs.select(F.col("a_label").alias("a"), F.col("b_label").alias("b"), F.col("a_words").alias("x"), F.col("b_words").alias("y")).distinct()
+    # lost letters anywhere: two neighbouring words are untouched; only owners of such titles take part
+    lost = whole.where(F.col("words").contains("�") & (n >= 3))
+    two = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array_join(F.slice(words, i, 2), " "))))
+    mates = whole.where(n >= 3).join(lost.select("owner").distinct(), "owner", "left_semi")
+    some = fitting(lost.withColumn("block", two).where(~F.col("block").contains("�")), mates.withColumn("block", two), F.size(F.split("a_words", " ")) == F.size(F.split("b_words", " ")))
+    slim = lambda p: p.select(F.col("a_label").alias("a"), F.col("b_label").alias("b"), F.col("a_words").alias("x"), F.col("b_words").alias("y"))
+    pairs = slim(pairs).unionByName(slim(some)).distinct()
     typed = pairs.mapInArrow(_typing_errors, "a bigint, b bigint").distinct()
     return reduce(DataFrame.unionByName, [*one, typed])
 
