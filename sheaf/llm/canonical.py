@@ -215,7 +215,7 @@ class Catalogue:
             for word, options in sorted(zip(content, near), key=lambda x: (sum(w in self.entry_words[ref] for w, _ in x[1]), x[0])):
                 fit = max(((q, w) for w, q in options if w in need), default=None)
                 if fit is None:
-                    left += word not in QUALIFIERS and not stop_like(word)
+                    left += word not in QUALIFIERS and (bool(options) or not stop_like(word))
                 else:
                     need.remove(fit[1])
                     total += fit[0]
