@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sheaf.plans import dedups, joining, problems, rollups, texts
+from sheaf.plans import dedups, joining, pipeline, problems, rollups, texts
 
-QUERIES = {**rollups.R.queries, **joining.R.queries, **dedups.R.queries, **texts.R.queries, **problems.QUERIES}
-ORACLES = {**rollups.R.oracles, **joining.R.oracles, **dedups.R.oracles, **texts.R.oracles, **problems.ORACLES}
+QUERIES = {**rollups.R.queries, **joining.R.queries, **dedups.R.queries, **texts.R.queries, **pipeline.R.queries, **problems.QUERIES}
+ORACLES = {**rollups.R.oracles, **joining.R.oracles, **dedups.R.oracles, **texts.R.oracles, **pipeline.R.oracles, **problems.ORACLES}
