@@ -23,7 +23,7 @@ _WORD = re.compile(r"[\w�]+")
 _NOISE = re.compile(r"['`´]")
 
 #: Words of journal names that carry no content; words that qualify a name without changing it.
-STOP = frozenset("the of in and on for a an to de la le les des du et e y i un und fur der die das pa di do da dos das d l".split())
+STOP = frozenset("the es of in and on for a an to de la le les des du et e y i un und fur der die das pa di do da dos das d l".split())
 QUALIFIERS = frozenset(
     "print online electronic resource edition imprimee internet web cd rom issn file international forum new series serie b eissn pissn vol volume no number issue former formerly continued".split()
 )
