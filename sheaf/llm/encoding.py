@@ -36,7 +36,7 @@ NARROW = (
 )
 
 LOST = "lost"
-_ENTER, _LEAVE = math.log(0.02), math.log(0.05)
+_ENTER, _LEAVE = math.log(0.08), math.log(0.05)
 #: A text's own occurrence is mostly left out of the counts it is judged by.
 _OWN = 0.7
 _FLOOR = 1e-7
