@@ -32,7 +32,7 @@ READ_AS_WIDE = ("gbk", "big5", "cp932", "cp949")
 #: Single-byte pairs (real encoding, read in).
 NARROW = (
     ("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "cp1251"), ("cp1252", "cp1250"), ("cp1252", "cp1253"),
-    ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1251", "cp1252"), ("cp1250", "cp1252"), ("cp1253", "cp1252"),
+    ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1251", "cp1252"), ("cp1250", "cp1252"),
 )
 
 LOST = "lost"
