@@ -90,7 +90,7 @@ def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     rows = materialized(survivors.read_deliveries(table(spark, d, "publications"), table(spark, d, "source_trust"), _counts(spark, d)))
-    got = survivors.survivors(survivors.group_deliveries(rows))
+    got = survivors.survivors(rows)
     return got.select("group_id", "field_name", F.col("id").alias("publication_id"))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,6 +23,7 @@ _DOI = re.compile(r"(?:^|[^0-9])(10\.\d{4,9}/[^\s?#\"<>]+)")
 _CUT = re.compile(r"(?:…|\.\.\.|\[…\])\W*$")
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _WORD = re.compile(r"[\w�]+")
+_LOST = re.compile("�+")
 _LOST_DASH = re.compile(r"(?<=\d)�+(?=\d)")
 _SUBTITLE = re.compile(r"\s*[:?]\s+|\s+[–—-]\s+|\.\s+")
 
@@ -39,24 +39,29 @@ def complete_doi(value: str | None) -> str | None:
 
 def title_words(title: str) -> list[str]:
     """The words of a title without markup, case, accents, look-alikes, invisible characters and punctuation."""
-    folded = _LOST_DASH.sub(" ", names.fold(_TAG.sub(" ", title)).replace("&", " and ").replace("_", " "))
-    return [w for w in (re.sub("�+", "�", x) for x in _WORD.findall(folded)) if w != "�"]
+    folded = names.fold(_TAG.sub(" ", title) if "<" in title else title)
+    if "&" in folded:
+        folded = folded.replace("&", " and ")
+    if "_" in folded:
+        folded = folded.replace("_", " ")
+    if "�" not in folded:
+        return _WORD.findall(folded)
+    return [w for w in (_LOST.sub("�", x) for x in _WORD.findall(_LOST_DASH.sub(" ", folded))) if w != "�"]
 
 
 def _signature(title: str | None) -> tuple[str, str, bool]:
     """(words, words without the subtitle or '', cut off): of a restored title."""
     if not title:
         return "", "", False
-    plain = _TAG.sub(" ", title).strip()
-    cut = bool(_CUT.search(plain))
-    words = " ".join(title_words(plain))
-    main = ""
-    if not cut and (m := _SUBTITLE.search(plain)):
-        rest = plain[m.end() :]
-        head = " ".join(title_words(plain[: m.start()]))
-        if rest and head and not SERIES.match(rest) and len(head.split()) > 2:
-            main = head
-    return words, main, cut
+    plain = (_TAG.sub(" ", title) if "<" in title else title).strip()
+    cut = ("…" in plain or "..." in plain) and bool(_CUT.search(plain))
+    m = None if cut else _SUBTITLE.search(plain)
+    if m is None:
+        return " ".join(title_words(plain)), "", cut
+    rest = plain[m.end() :]
+    head, tail = title_words(plain[: m.start()]), title_words(rest)
+    main = " ".join(head) if tail and len(head) > 2 and not SERIES.match(rest) else ""
+    return " ".join(head + tail), main, cut
 
 
 def _read_titles(counts: dict) -> object:
@@ -80,7 +85,7 @@ def _read_titles(counts: dict) -> object:
 
 
 def read_deliveries(papers: DataFrame, trust: DataFrame, counts: dict | None = None) -> DataFrame:
-    """id, owner, venue, year, rank, at, and of the title and DOI: doi, words, main, cut, generic, usable.
+    """id, owner, venue, year, rank, at, sig, and of the title and DOI: doi, words, main, cut, generic, usable.
 
     rank is the source's trust rank, null for sources that are null or not in the trust table; source names
     are compared without case, blanks, hyphens and underscores.
@@ -93,7 +98,12 @@ def read_deliveries(papers: DataFrame, trust: DataFrame, counts: dict | None = N
     )
     shared = papers.sparkSession.sparkContext.broadcast(encoding.clean_counts(papers, "title") if counts is None else counts)
     schema = "id bigint, owner bigint, venue bigint, year int, rank int, at timestamp, doi string, words string, main string, cut boolean, generic boolean, usable boolean"
-    return slim.mapInArrow(_read_titles(shared), schema)
+    return slim.mapInArrow(_read_titles(shared), schema).withColumn("sig", _key("owner", "doi", "words", "cut"))
+
+
+def _key(*cols: Column | str) -> Column:
+    """Sixteen bytes that stand for the values of several columns."""
+    return F.unhex(F.md5(F.concat_ws("\u0001", *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in cols])))
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -115,10 +125,6 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     return labels
 
 
-def _hub(*cols: Column | str) -> Column:
-    return F.sha2(F.concat_ws("\u0001", *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in cols]), 256)
-
-
 def _typing_errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         a, z, x, y = (c.to_pylist() for c in b.columns)
@@ -143,96 +149,118 @@ def differs_by_typing(x: str, y: str) -> bool:
 
 
 def group_deliveries(rows: DataFrame) -> DataFrame:
-    """(id, group_id): the deliveries of one paper of one owner share the smallest id; of read_deliveries' rows.
+    """The rows of read_deliveries with group_id: the deliveries of one paper of one owner share the smallest id.
 
     Equal deliveries are first merged into signatures (owner, DOI, words, cut), each with its range of years and
-    its venue, so that copies cost nothing later. Signatures with the same DOI, or the same whole title and
+    of venues, so that copies cost nothing later. Signatures with the same DOI, or the same whole title and
     years at most one apart, are one paper; cut titles, titles without their subtitle and titles with typing
     errors join the one paper they fit, with fitting year and venue. Generic titles go by DOI alone.
     """
+    return rows.join(_papers(rows).select("sig", "group_id"), "sig")
+
+
+def _papers(rows: DataFrame) -> DataFrame:
+    """(sig, group_id, n): each signature's paper and its number of rows."""
     nodes = materialized(
-        rows.groupBy("owner", "doi", "words", "cut").agg(
-            F.max("main").alias("main"), F.max("generic").alias("generic"), F.min("id").alias("node"), F.min("year").alias("y1"), F.max("year").alias("y2"), F.min("venue").alias("v1"), F.max("venue").alias("v2")
+        rows.groupBy("sig").agg(
+            *[F.any_value(c).alias(c) for c in ("owner", "doi", "words", "main", "cut", "generic")], F.min("id").alias("node"), F.count(F.lit(1)).alias("n"),
+            F.min("year").alias("y1"), F.max("year").alias("y2"), F.min("venue").alias("v1"), F.max("venue").alias("v2"),
         )
-    )
-    by_doi = nodes.where("doi is not null").select("node", _hub(F.lit("D"), "owner", "doi").alias("hub"))
+    )
+    by_doi = nodes.where("doi is not null").select("node", _key(F.lit("D"), "owner", "doi").alias("hub"))
     titled = nodes.where("words <> '' and not generic")
-    # the same title: one hub for each run of years without a gap of more than one
-    same = titled.select("node", "owner", "words", "cut", "y1", "y2", "v1")
-    keyed = _hub(F.lit("T"), "owner", "words", F.col("cut").cast("string"), F.when(F.col("cut"), F.col("v1")))
-    by_title = _year_runs(same.withColumn("hub0", keyed))
+    by_title = _year_runs(titled.select("node", "y1", "y2", _key(F.lit("T"), "owner", "words", "cut", F.when(F.col("cut"), F.col("v1"))).alias("key")))
     first = components(by_doi.unionByName(by_title))
     nodes = materialized(nodes.join(first, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    soft = _soft_links(nodes)
-    pairs = materialized(soft)
-    hubs = pairs.select(F.col("a").alias("node"), _hub(F.lit("S"), "a", "b").alias("hub")).unionByName(pairs.select(F.col("b").alias("node"), _hub(F.lit("S"), "a", "b").alias("hub")))
-    second = components(hubs).select(F.col("node").alias("label"), F.col("label").alias("final"))
-    nodes = nodes.join(second, "label", "left").select("owner", "doi", "words", "main", "cut", F.coalesce("final", "label").alias("group_id"))
-    on = [rows[c].eqNullSafe(nodes[c]) for c in ("doi", "words", "cut")] + [rows["owner"] == nodes["owner"]]
-    return rows.join(nodes, reduce(lambda x, y: x & y, on)).select(rows["*"], nodes["group_id"])
+    pairs = materialized(_soft_links(nodes))
+    hub = _key(F.lit("S"), "a", "b").alias("hub")
+    second = components(pairs.select(F.col("a").alias("node"), hub).unionByName(pairs.select(F.col("b").alias("node"), hub))).select(F.col("node").alias("label"), F.col("label").alias("final"))
+    return nodes.select("sig", "n", "label").join(second, "label", "left").select("sig", "n", F.coalesce("final", "label").alias("group_id"))
 
 
 def _year_runs(titled: DataFrame) -> DataFrame:
-    """(node, hub): nodes of one title, split where the years leave a gap of two or more; nodes without a year join all."""
-    near = F.explode(F.sequence(F.col("y1") - 1, F.col("y2")))
-    dated = titled.where("y1 is not null and y2 - y1 <= 50").select("node", near.alias("y"), "hub0").select("node", _hub("hub0", "y").alias("hub"))
-    years = titled.groupBy("hub0").agg(F.min("y1").alias("a"), F.max("y2").alias("b"))
-    loose = titled.join(years, "hub0").where("y1 is null or y2 - y1 > 50 or b - a <= 1").select("node", _hub("hub0", F.lit("any")).alias("hub"))
-    return dated.unionByName(loose)
+    """(node, hub): nodes of one title key, split where the years leave a gap of two or more; nodes without a year join all.
+
+    Only keys that several nodes have are looked at further.
+    """
+    several = titled.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("y1").alias("a"), F.max("y2").alias("b")).where("lo < hi").select("key", "a", "b")
+    t = titled.join(several, "key")
+    loose = t.where("y1 is null or a is null or b - a <= 1 or y2 - y1 > 50").select("node", F.col("key").alias("hub"))
+    dated = t.where("y1 is not null and b - a > 1 and y2 - y1 <= 50").select("node", F.explode(F.sequence(F.col("y1") - 1, F.col("y2"))).alias("y"), "key")
+    return loose.unionByName(dated.select("node", _key("key", "y").alias("hub")))
 
 
 def _soft_links(nodes: DataFrame) -> DataFrame:
-    """(a, b): labels to be joined; a is a cut, shortened or mistyped title that fits exactly one paper b."""
+    """(a, b): labels to be joined; a is a cut, shortened or mistyped title that fits exactly one paper b.
+
+    Candidates meet in blocks, hashes of an owner and some words, with numbers only; blocks in which no two
+    papers could meet go first, and the words are fetched for the candidates that are left.
+    """
     words = F.split("words", " ")
     n = F.size(words)
-    part = lambda s, e: F.concat_ws(" ", F.slice(words, s, e))
-    base = nodes.where("words <> '' and not generic")
-    whole = base.where("not cut")
-
-    def fitting(x: DataFrame, y: DataFrame, on: Column) -> DataFrame:
-        a = x.select(*[F.col(c).alias(f"a_{c}") for c in x.columns])
-        b = y.select(*[F.col(c).alias(f"b_{c}") for c in y.columns])
-        years = F.col("a_y1").isNull() | F.col("b_y1").isNull() | ((F.col("a_y1") <= F.col("b_y2") + 1) & (F.col("b_y1") <= F.col("a_y2") + 1))
-        dois = F.col("a_doi").isNull() | F.col("b_doi").isNull() | F.col("a_doi").contains("/repo") | F.col("b_doi").contains("/repo")
-        venues = F.col("a_v1").isNull() | F.col("b_v1").isNull() | ((F.col("a_v1") <= F.col("b_v2")) & (F.col("b_v1") <= F.col("a_v2")))
-        return a.join(b, (F.col("a_owner") == F.col("b_owner")) & (F.col("a_block") == F.col("b_block")) & (F.col("a_label") != F.col("b_label")) & years & venues & dois & on)
-
-    # cut titles: the beginning of a whole title
-    cut = base.where("cut").withColumn("block", F.when(n > 6, part(1, 6)).when(n > 3, part(1, 3)).otherwise(part(1, 1)))
-    starts = whole.withColumn("block", F.explode(F.array_distinct(F.array(part(1, 6), part(1, 3), part(1, 1)))))
-    by_cut = fitting(cut, starts, F.col("b_words").startswith(F.col("a_words")))
-    # a title that is another one's without the subtitle
-    short = whole.where("main = ''").withColumn("block", F.col("words"))
-    long = whole.where("main <> ''").withColumn("block", F.col("main"))
-    by_main = fitting(short, long, F.lit(True))
-    one = [x.groupBy("a_label").agg(F.min("b_label").alias("b"), F.max("b_label").alias("hi")).where("b = hi").select(F.col("a_label").alias("a"), "b") for x in (by_cut, by_main)]
-    # typing errors: one half of the words is untouched
+    part = lambda s, e: F.array_join(F.slice(words, s, e), " ")
+    entry = lambda kind, role, text: F.struct(F.xxhash64(F.lit(kind), "owner", text).alias("block"), F.lit(role).alias("role"), F.lit(kind).alias("kind"))
     half = F.floor(n / 2)
-    halves = whole.where(n >= 4).withColumn("block", F.explode(F.array(F.concat(F.lit("1 "), part(1, half)), F.concat(F.lit("2 "), part(half + 1, n)))))
-    pairs = fitting(halves, halves, (F.col("a_label") < F.col("b_label")) & (F.size(F.split("a_words", " ")) == F.size(F.split("b_words", " "))) & (F.col("a_words") != F.col("b_words")))
+    blocks = F.array_compact(
+        F.array(
+            # cut titles: the beginning of a whole title
+            F.when(F.col("cut"), entry("cut", 1, F.when(n > 6, part(1, 6)).when(n > 3, part(1, 3)).otherwise(part(1, 1)))),
+            F.when(~F.col("cut") & (n > 6), entry("cut", 2, part(1, 6))),
+            F.when(~F.col("cut") & (n > 3), entry("cut", 2, part(1, 3))),
+            F.when(~F.col("cut"), entry("cut", 2, part(1, 1))),
+            # a title that is another one's without the subtitle
+            F.when(~F.col("cut") & (F.col("main") == ""), entry("main", 1, F.col("words"))),
+            F.when(~F.col("cut") & (F.col("main") != ""), entry("main", 2, F.col("main"))),
+            # typing errors: one half of the words is untouched
+            F.when(~F.col("cut") & (n >= 4), entry("half", 3, F.concat(F.lit("1 "), n.cast("string"), F.lit(" "), part(1, half)))),
+            F.when(~F.col("cut") & (n >= 4), entry("half", 3, F.concat(F.lit("2 "), n.cast("string"), F.lit(" "), part(half + 1, n)))),
+        )
+    )
+    base = nodes.where("words <> '' and not generic")
+    doi = F.when(F.col("doi").isNull(), 0).when(F.col("doi").contains("/repo"), 1).otherwise(2)
+    facts = ["label", "owner", "y1", "y2", "v1", "v2", "d"]
+    # cut titles whose paper has a whole one already need no other
+    whole = nodes.where("not cut and words <> ''").select("label").distinct()
+    idle = base.where("cut").join(whole, "label", "left_semi").select("node")
+    keyed = base.join(idle, "node", "left_anti").withColumn("d", doi).select("node", *facts, F.explode(blocks).alias("k")).select("node", *facts, "k.block", "k.role", "k.kind")
     # lost letters anywhere: two neighbouring words are untouched; only owners of such titles take part
-    lost = whole.where(F.col("words").contains("�") & (n >= 3))
-    two = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array_join(F.slice(words, i, 2), " "))))
-    mates = whole.where(n >= 3).join(lost.select("owner").distinct(), "owner", "left_semi")
-    some = fitting(lost.withColumn("block", two).where(~F.col("block").contains("�")), mates.withColumn("block", two), F.size(F.split("a_words", " ")) == F.size(F.split("b_words", " ")))
-    slim = lambda p: p.select(F.col("a_label").alias("a"), F.col("b_label").alias("b"), F.col("a_words").alias("x"), F.col("b_words").alias("y"))
-    pairs = slim(pairs).unionByName(slim(some)).distinct()
-    typed = pairs.mapInArrow(_typing_errors, "a bigint, b bigint").distinct()
-    return reduce(DataFrame.unionByName, [*one, typed])
-
-
-def survivors(grouped: DataFrame) -> DataFrame:
+    lost = base.where(~F.col("cut") & F.col("words").contains("�") & (n >= 3)).withColumn("d", doi)
+    two = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array_join(F.slice(words, i, 2), " ")))).alias("t")
+    mates = base.where(~F.col("cut") & (n >= 3)).join(lost.select("owner").distinct(), "owner", "left_semi").withColumn("d", doi)
+    sides = [x.select("node", *facts, two, n.alias("n")).where(~F.col("t").contains("�")).select("node", *facts, F.xxhash64(F.lit("lost"), "owner", "t", "n").alias("block"), F.lit(r).alias("role"), F.lit("lost").alias("kind")) for x, r in ((lost, 1), (mates, 2))]
+    keyed = materialized(keyed.unionByName(sides[0]).unionByName(sides[1]))
+    busy = keyed.groupBy("block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("role").alias("r1"), F.max("role").alias("r2")).where("lo < hi and (r1 < r2 or r1 = 3)").select("block")
+    keyed = keyed.join(busy, "block")
+    a = keyed.where("role in (1, 3)").select("block", *[F.col(c).alias(f"a_{c}") for c in ("node", "kind", *facts)])
+    b = keyed.where("role in (2, 3)").select("block", *[F.col(c).alias(f"b_{c}") for c in ("node", "kind", *facts)])
+    years = F.col("a_y1").isNull() | F.col("b_y1").isNull() | ((F.col("a_y1") <= F.col("b_y2") + 1) & (F.col("b_y1") <= F.col("a_y2") + 1))
+    venues = F.col("a_v1").isNull() | F.col("b_v1").isNull() | ((F.col("a_v1") <= F.col("b_v2")) & (F.col("b_v1") <= F.col("a_v2")))
+    fits = (F.col("a_owner") == F.col("b_owner")) & (F.col("a_kind") == F.col("b_kind")) & (F.col("a_label") != F.col("b_label")) & years & venues & ((F.col("a_d") < 2) | (F.col("b_d") < 2))
+    fits = fits & ((F.col("a_kind") != "half") | (F.col("a_label") < F.col("b_label")))
+    near = a.join(b, "block").where(fits).select("a_node", "a_label", "b_node", "b_label", F.col("a_kind").alias("kind")).distinct()
+    text = lambda side: nodes.select(F.col("node").alias(f"{side}_node"), F.col("words").alias(f"{side}_words"), F.col("main").alias(f"{side}_main"))
+    near = materialized(near.join(text("a"), "a_node").join(text("b"), "b_node"))
+    clear = near.where("(kind = 'cut' and startswith(b_words, a_words)) or (kind = 'main' and b_main = a_words)")
+    one = clear.groupBy("kind", "a_label").agg(F.min("b_label").alias("b"), F.max("b_label").alias("hi")).where("b = hi").select(F.col("a_label").alias("a"), "b")
+    typed = near.where("kind in ('half', 'lost')").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"), F.col("a_words").alias("x"), F.col("b_words").alias("y")).distinct()
+    return one.unionByName(typed.mapInArrow(_typing_errors, "a bigint, b bigint")).distinct()
+
+
+def survivors(rows: DataFrame) -> DataFrame:
     """(group_id, field_name, id): for each field of each group of two or more rows the row whose value survives.
 
-    One aggregation takes, for each field, the maximum of (usable, trust, load time, smallest id): among the
-    usable values the most trusted source's, then the latest, then the smallest id's. Groups without a usable
-    value of a field have no row for it.
+    rows as of read_deliveries. One aggregation takes, for each field, the maximum of (usable, trust, load time,
+    smallest id): among the usable values the most trusted source's, then the latest, then the smallest id's.
+    Groups without a usable value of a field have no row for it. Signatures of single rows stay out of the join.
     """
+    papers = _papers(rows)
+    several = papers.groupBy("group_id").agg(F.sum("n").alias("n")).where("n > 1").select("group_id")
+    grouped = rows.select("id", "sig", "rank", "at", F.col("doi").isNotNull().alias("has_doi"), "usable").join(papers.join(several, "group_id").select("sig", "group_id"), "sig")
     order = [(-F.coalesce("rank", F.lit(2**31 - 1)).cast("bigint")).alias("trust"), F.col("at"), (-F.col("id")).alias("key")]
 
     def best(usable: Column) -> Column:
         return F.max(F.when(usable, F.struct(*order)))
 
-    got = grouped.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), best(F.lit(True)).alias("source"), best(F.col("doi").isNotNull()).alias("doi"), best(F.col("usable")).alias("title"))
+    got = grouped.groupBy("group_id").agg(best(F.lit(True)).alias("source"), best(F.col("has_doi")).alias("doi"), best(F.col("usable")).alias("title"))
     fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), (-F.col(f"{f}.key")).alias("id")) for f in ("source", "doi", "title")]))
-    return got.where("n > 1").select("group_id", fields.alias("f")).select("group_id", "f.field_name", "f.id").where("id is not null")
+    return got.select("group_id", fields.alias("f")).select("group_id", "f.field_name", "f.id").where("id is not null")

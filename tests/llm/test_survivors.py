@@ -9,10 +9,14 @@ T1, T2, T3 = D(2024, 1, 1), D(2024, 2, 1), D(2024, 3, 1)
 LONG = "Who pays for bounded performance pay? archival ledgers with credit unions"
 
 
-def grouped(spark, rows):
+def read(spark, rows):
     df = spark.createDataFrame([(*r, 7, "clash") for r in rows], COLUMNS)
     trust = spark.createDataFrame([("doi registry", 1), ("open index", 2)], "source string, trust_rank int")
-    return S.group_deliveries(S.read_deliveries(df, trust, {}))
+    return S.read_deliveries(df, trust, {})
+
+
+def grouped(spark, rows):
+    return S.group_deliveries(read(spark, rows))
 
 
 def groups(spark, rows):
@@ -77,6 +81,6 @@ def test_survivors_are_brute_force(spark):
     members = {}
     for r in g.collect():
         members.setdefault(r.group_id, set()).add(r.id)
-    got = {tuple(r) for r in S.survivors(g).collect()}
+    got = {tuple(r) for r in S.survivors(read(spark, rows)).collect()}
     assert got == brute(rows, {"doiregistry": 1, "openindex": 2}, members.values())
     assert (1, "source", 1) in got and (1, "title", 3) in got
