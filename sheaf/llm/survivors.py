@@ -98,7 +98,14 @@ def read_deliveries(papers: DataFrame, trust: DataFrame, counts: dict | None = N
     )
     shared = papers.sparkSession.sparkContext.broadcast(encoding.clean_counts(papers, "title") if counts is None else counts)
     schema = "id bigint, owner bigint, venue bigint, year int, rank int, at timestamp, doi string, words string, main string, cut boolean, generic boolean, usable boolean"
-    return slim.mapInArrow(_read_titles(shared), schema).withColumn("sig", _key("owner", "doi", "words", "cut"))
+    return slim.mapInArrow(_read_titles(shared), schema).withColumn("sig", _signature_key())
+
+
+def _signature_key() -> Column:
+    """What makes two deliveries alike: without a DOI also the year, and for generic or missing titles nothing does."""
+    alone = F.col("generic") | (F.col("words") == "")
+    own = F.when(F.col("doi").isNull(), F.when(alone, F.concat(F.lit("#"), F.col("id").cast("string"))).otherwise(F.coalesce(F.col("year").cast("string"), F.lit(""))))
+    return _key("owner", "doi", "words", "cut", own)
 
 
 def _key(*cols: Column | str) -> Column:
@@ -151,8 +158,8 @@ def differs_by_typing(x: str, y: str) -> bool:
 def group_deliveries(rows: DataFrame) -> DataFrame:
     """The rows of read_deliveries with group_id: the deliveries of one paper of one owner share the smallest id.
 
-    Equal deliveries are first merged into signatures (owner, DOI, words, cut), each with its range of years and
-    of venues, so that copies cost nothing later. Signatures with the same DOI, or the same whole title and
+    Equal deliveries are first merged into signatures (owner, DOI, words, cut; without a DOI also the year), each
+    with its range of years and of venues, so that copies cost nothing later. Signatures with the same DOI, or the same whole title and
     years at most one apart, are one paper; cut titles, titles without their subtitle and titles with typing
     errors join the one paper they fit, with fitting year and venue. Generic titles go by DOI alone.
     """
@@ -172,9 +179,7 @@ def _papers(rows: DataFrame) -> DataFrame:
     by_title = _year_runs(titled.select("node", "y1", "y2", _key(F.lit("T"), "owner", "words", "cut", F.when(F.col("cut"), F.col("v1"))).alias("key")))
     first = components(by_doi.unionByName(by_title))
     nodes = materialized(nodes.join(first, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    pairs = materialized(_soft_links(nodes))
-    hub = _key(F.lit("S"), "a", "b").alias("hub")
-    second = components(pairs.select(F.col("a").alias("node"), hub).unionByName(pairs.select(F.col("b").alias("node"), hub))).select(F.col("node").alias("label"), F.col("label").alias("final"))
+    second = _joined(materialized(_soft_links(nodes))).select(F.col("node").alias("label"), F.col("label").alias("final"))
     return nodes.select("sig", "n", "label").join(second, "label", "left").select("sig", "n", F.coalesce("final", "label").alias("group_id"))
 
 
@@ -240,10 +245,18 @@ def _soft_links(nodes: DataFrame) -> DataFrame:
     near = a.join(b, "block").where(fits).select("a_node", "a_label", "b_node", "b_label", F.col("a_kind").alias("kind")).distinct()
     text = lambda side: nodes.select(F.col("node").alias(f"{side}_node"), F.col("words").alias(f"{side}_words"), F.col("main").alias(f"{side}_main"))
     near = materialized(near.join(text("a"), "a_node").join(text("b"), "b_node"))
-    clear = near.where("(kind = 'cut' and startswith(b_words, a_words)) or (kind = 'main' and b_main = a_words)")
-    one = clear.groupBy("kind", "a_label").agg(F.min("b_label").alias("b"), F.max("b_label").alias("hi")).where("b = hi").select(F.col("a_label").alias("a"), "b")
-    typed = near.where("kind in ('half', 'lost')").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"), F.col("a_words").alias("x"), F.col("b_words").alias("y")).distinct()
-    return one.unionByName(typed.mapInArrow(_typing_errors, "a bigint, b bigint")).distinct()
+    alike = near.where("kind in ('half', 'lost')").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"), F.col("a_words").alias("x"), F.col("b_words").alias("y")).distinct()
+    typed = materialized(alike.mapInArrow(_typing_errors, "a bigint, b bigint").distinct())
+    same = _joined(typed).select(F.col("node").alias("b_label"), F.col("label").alias("b_same"))  # spellings of one paper count once
+    clear = near.where("(kind = 'cut' and startswith(b_words, a_words)) or (kind = 'main' and b_main = a_words)").join(same, "b_label", "left").withColumn("b", F.coalesce("b_same", "b_label"))
+    one = clear.groupBy("kind", "a_label").agg(F.min("b").alias("b"), F.max("b").alias("hi")).where("b = hi").select(F.col("a_label").alias("a"), "b")
+    return one.unionByName(typed).distinct()
+
+
+def _joined(pairs: DataFrame) -> DataFrame:
+    """(node, label) of the nodes that pairs (a, b) connect."""
+    hub = _key(F.lit("S"), "a", "b").alias("hub")
+    return components(pairs.select(F.col("a").alias("node"), hub).unionByName(pairs.select(F.col("b").alias("node"), hub)))
 
 
 def survivors(rows: DataFrame) -> DataFrame:

@@ -66,6 +66,16 @@ def test_near_the_optimum_and_reduction_is_safe(seed):
     assert sum(m for _, m in fixed) + optimum(list(rest.elements()), 20) == best
 
 
+def least(items, cap):
+    """Martello and Toth's bound L2: what no packing can go below."""
+    best = 0
+    for a in sorted({0, *(x for x in items if x <= cap // 2)}):
+        big, mid = [x for x in items if x > cap - a], [x for x in items if cap - a >= x > cap / 2]
+        small = sum(x for x in items if cap / 2 >= x >= a)
+        best = max(best, len(big) + len(mid) + max(0, -(-(small - (len(mid) * cap - sum(mid))) // cap)))
+    return best
+
+
 def test_bad_sizes():
     with pytest.raises(ValueError):
         C.plan({11: 1}, 10)
@@ -86,7 +96,7 @@ def test_pack(spark):
         parts = sorted(whole.get(i, []))
         assert sum(t for _, t in parts) == n
         assert [p for p, _ in parts] == ([] if n == 0 else [0] if n <= 100 else list(range(1, -(-n // 100) + 1)))
-    assert sum(fill.values()) / (len(fill) * 100) > 0.97
+    assert len(fill) <= 1.05 * least([r.tokens for r in got], 100)  # five of the hot size leave 15 of 100, which the bound doesn't see
     assert C.pack(df.limit(0), 100).count() == 0
 
 

@@ -6,6 +6,7 @@ from sheaf.llm import survivors as S
 
 COLUMNS = "publication_id bigint, researcher_id bigint, journal_id bigint, title string, year int, doi string, source string, loaded_at timestamp, group_id bigint, id string"
 T1, T2, T3 = D(2024, 1, 1), D(2024, 2, 1), D(2024, 3, 1)
+OTHER = "The thin effect of insider trading on tax officers in Valdoria"
 LONG = "Who pays for bounded performance pay? archival ledgers with credit unions"
 
 
@@ -44,11 +45,11 @@ def test_typing():
 def test_groups(spark):
     got = groups(spark, [
         row(1, LONG, "10.1234/a"), row(2, "<i>" + LONG.upper() + "</i>"), row(3, LONG[:40] + "…"), row(4, "Who pays for bounded performance pay?"), row(5, LONG.replace("archival", "archivla")), row(6, None, "https://x/10.1234%2FA"),
-        row(7, LONG, who=2), row(8, LONG + ": theory", "10.1234/b"), row(9, LONG + ": data", "10.1234/c"), row(10, "Editorial", "10.1234/d"), row(11, "Editorial", "10.1234/e"), row(12, "Editorial", "10.1234/d"), row(13, "Reply"), row(14, "Reply"),
-        row(15, LONG, year=2009), row(16, None), row(17, ""), row(18, LONG + " – part I"), row(19, LONG + " – part II"),
+        row(7, LONG, who=2), row(8, OTHER + ": theory", "10.1234/b"), row(9, OTHER + ": data", "10.1234/c"), row(10, "Editorial", "10.1234/d"), row(11, "Editorial", "10.1234/e"), row(12, "Editorial", "10.1234/d"), row(13, "Reply"), row(14, "Reply"),
+        row(15, OTHER, year=2009), row(16, None), row(17, ""), row(18, OTHER + " – part I"), row(19, OTHER + " – part II"), row(20, OTHER[:30] + " …"), row(21, OTHER, year=2015), row(22, OTHER.replace("insider", "insidre"), year=2016),
     ])
     assert [1, 2, 3, 4, 5, 6] in got and [7] in got and [8] in got and [9] in got and [10, 12] in got and [11] in got, got
-    assert [13] in got and [14] in got and [15] in got and [16] in got and [18] in got and [19] in got
+    assert all([i] in got for i in (13, 14, 15, 16, 17, 18, 19, 20)) and [21, 22] in got, got
     assert groups(spark, []) == []
 
 
