@@ -88,7 +88,8 @@ def author_names(x: Column | str) -> Column:
 
 
 def author_count(x: Column | str) -> Column:
-    return F.size(author_names(x))
+    names = author_names(x)
+    return F.when(names.isNotNull(), F.size(names))
 
 
 def coauthor_surnames(x: Column | str) -> Column:

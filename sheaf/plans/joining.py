@@ -348,19 +348,17 @@ def contains_join(spark, d):
 
 @R.query(
     "upsert_classify",
-    """WITH cur AS (SELECT ref_id, journal_title, rating FROM journal_reference),
-    inc AS (SELECT ref_id, CASE WHEN ref_id % 7 = 0 THEN journal_title || ' II' ELSE journal_title END AS journal_title, CASE WHEN ref_id % 11 = 0 THEN NULL ELSE rating END AS rating FROM journal_reference WHERE ref_id % 3 = 0
-    UNION ALL SELECT ref_id + 1000, journal_title, rating FROM journal_reference WHERE ref_id <= 5)
-    SELECT inc.ref_id, inc.journal_title, inc.rating, CASE WHEN inc.rating IS NULL THEN 'error' WHEN cur.ref_id IS NULL THEN 'insert' WHEN cur.journal_title = inc.journal_title AND cur.rating = inc.rating THEN 'skip' ELSE 'update' END AS action
-    FROM inc LEFT JOIN cur ON inc.ref_id = cur.ref_id""",
+    """WITH cur AS (SELECT journal_title, min(rating) AS rating, min(issn) AS issn FROM journal_reference GROUP BY journal_title),
+    n AS (SELECT journal_name, count(*) AS n FROM anu_journals GROUP BY journal_name)
+    SELECT a.journal_name AS journal_title, a.quality_rank AS rating, a.issn, CASE WHEN a.journal_name IS NULL OR n.n > 1 OR a.quality_rank IS NULL OR trim(a.quality_rank) = '' THEN 'error' WHEN cur.journal_title IS NULL THEN 'insert'
+    WHEN cur.rating IS NOT DISTINCT FROM a.quality_rank AND cur.issn IS NOT DISTINCT FROM a.issn THEN 'skip' ELSE 'update' END AS action
+    FROM anu_journals a LEFT JOIN n ON a.journal_name = n.journal_name LEFT JOIN cur ON a.journal_name = cur.journal_title""",
 )
 def upsert_classify(spark, d):
-    """Incoming rows as insert, update, skip or error."""
-    cur = table(spark, d, "journal_reference").select("ref_id", "journal_title", "rating")
-    title = F.when(F.col("ref_id") % 7 == 0, F.concat("journal_title", F.lit(" II"))).otherwise(F.col("journal_title"))
-    inc = cur.where("ref_id % 3 = 0").select("ref_id", title.alias("journal_title"), F.when(F.col("ref_id") % 11 != 0, F.col("rating")).alias("rating"))
-    inc = inc.unionByName(cur.where("ref_id <= 5").withColumn("ref_id", F.col("ref_id") + 1000))
-    return mutation.classify_upsert(cur, inc, "ref_id", ["journal_title", "rating"], ["rating"])
+    """Incoming rows as insert, update, skip or error (no key, a key twice, a required value missing)."""
+    cur = table(spark, d, "journal_reference").groupBy("journal_title").agg(F.min("rating").alias("rating"), F.min("issn").alias("issn"))
+    inc = table(spark, d, "anu_journals").select(F.col("journal_name").alias("journal_title"), F.col("quality_rank").alias("rating"), "issn")
+    return mutation.classify_upsert(cur, inc, "journal_title", ["rating", "issn"], ["rating"])
 
 
 @R.query(

@@ -14,11 +14,11 @@ R = Registry()
 @R.query(
     "text_keys",
     r"""SELECT publication_id, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS title_key, regexp_replace(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), '^(the|a|an) ', '') AS article_key,
-    regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') AS bare_key, replace(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' ', '-') AS slug FROM publications WHERE NOT regexp_matches(title, '[^\x00-\x7f]')""",
+    regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') AS bare_key, replace(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' ', '-') AS slug FROM publications""",
 )
 def text_keys(spark, d):
-    """comparison keys (the SQL check is on ASCII titles, whose lower case is the same everywhere)."""
-    p = table(spark, d, "publications").where(~F.col("title").rlike(r"[^\x00-\x7f]"))
+    """comparison keys."""
+    p = table(spark, d, "publications")
     return p.select("publication_id", text.title_key("title").alias("title_key"), text.article_key("title").alias("article_key"), text.bare_key("title").alias("bare_key"), text.slug("title").alias("slug"))
 
 
@@ -38,11 +38,11 @@ def clean_html_text(spark, d):
 @R.query(
     "tidy_names",
     r"""SELECT DISTINCT journal_id, journal_name AS old_name, CASE WHEN lower(trim(journal_name)) IN ('ssrn', 'ssrn electronic journal', 'repec', 'arxiv', 'arxiv.org', 'zenodo', 'figshare', 'research square')
-    OR regexp_matches(lower(trim(journal_name)), 'working paper|discussion paper|unpublished') THEN NULL ELSE trim(journal_name) END AS venue FROM journals WHERE journal_name IS NOT NULL AND NOT regexp_matches(journal_name, '[^\x00-\x7f]')""",
+    OR regexp_matches(lower(trim(journal_name)), 'working paper|discussion paper|unpublished') THEN NULL ELSE trim(journal_name) END AS venue FROM journals WHERE journal_name IS NOT NULL""",
 )
 def tidy_names(spark, d):
     """repository venues as null."""
-    j = table(spark, d, "journals").where("journal_name is not null").where(~F.col("journal_name").rlike(r"[^\x00-\x7f]"))
+    j = table(spark, d, "journals").where("journal_name is not null")
     return j.select("journal_id", F.col("journal_name").alias("old_name"), text.drop_repository("journal_name").alias("venue")).distinct()
 
 
@@ -62,11 +62,14 @@ def identifier_normalise(spark, d):
     return table(spark, d, "publications").select("publication_id", identifiers.doi("doi").alias("doi"), identifiers.dedup_doi("doi", "10.99200/").alias("dedup_doi"))
 
 
-@R.query("issn_cells", "SELECT journal_id, list_distinct(regexp_extract_all(upper(issn), '[0-9]{4}-[0-9]{3}[0-9X]')) AS issns FROM (SELECT DISTINCT journal_id, issn FROM journals WHERE regexp_matches(issn, '^[0-9]{4}-[0-9]{3}[0-9X]$'))")
+@R.query(
+    "issn_cells",
+    """SELECT journal_id, list_sort(list_distinct(list_transform(regexp_extract_all(upper(issn), '[0-9]{4}-?[0-9]{3}[0-9X]'), lambda x: substr(x, 1, 4) || '-' || substr(x, -4, 4)))) AS issns FROM (SELECT DISTINCT journal_id, issn FROM journals WHERE issn IS NOT NULL)""",
+)
 def issn_cells(spark, d):
-    """ISSNs of a cell (the SQL check is on cells with one hyphened ISSN)."""
-    j = table(spark, d, "journals").where(F.col("issn").rlike("^[0-9]{4}-[0-9]{3}[0-9X]$")).select("journal_id", "issn").distinct()
-    return j.select("journal_id", identifiers.issns("issn").alias("issns"))
+    """ISSNs of a cell."""
+    j = table(spark, d, "journals").where("issn is not null").select("journal_id", "issn").distinct()
+    return j.select("journal_id", F.array_sort(identifiers.issns("issn")).alias("issns"))
 
 
 @R.query(
@@ -104,11 +107,14 @@ def name_parts(spark, d):
     return r.select("researcher_id", people.honorific("name").alias("prefix"), people.without_honorific("name").alias("bare"), people.name_key("name").alias("name_key"), people.surname("name").alias("surname"), people.roles_of("job_title").alias("roles"))
 
 
-@R.query("author_counts", "SELECT publication_id, len(list_filter(list_transform(string_split(authors, ';'), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^et al'))) AS n_names FROM publications WHERE contains(authors, ';')")
+@R.query(
+    "author_counts",
+    """SELECT publication_id, CASE WHEN contains(authors, ';') THEN len(list_filter(list_transform(string_split(authors, ';'), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^et al')))
+    WHEN NOT contains(authors, ',') AND NOT regexp_matches(lower(authors), ' and | & |\\||/|\\n') AND trim(authors) <> '' THEN 1 END AS n_names FROM publications""",
+)
 def author_counts(spark, d):
-    """Names of semicolon lists."""
-    p = table(spark, d, "publications").where(F.col("authors").contains(";"))
-    return p.select("publication_id", people.author_count("authors").alias("n_names"))
+    """Names of semicolon lists; null where the separator is in doubt."""
+    return table(spark, d, "publications").select("publication_id", people.author_count("authors").cast("bigint").alias("n_names"))
 
 
 @R.query("author_forms")
