@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -118,6 +119,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
     Labels and hubs exchange minima until nothing changes; nodes of hubs that nobody shares are left out.
     """
+    edges = edges.repartition("hub")  # one exchange for the count and for the join
     shared = edges.groupBy("hub").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("hub")
     edges = materialized(edges.join(shared, "hub").select("node", "hub").distinct())
     labels = edges.groupBy("node").agg(F.min("node").alias("label"))
@@ -168,19 +170,20 @@ def group_deliveries(rows: DataFrame) -> DataFrame:
 
 def _papers(rows: DataFrame) -> DataFrame:
     """(sig, group_id, n): each signature's paper and its number of rows."""
+    doi = F.when(F.col("doi").isNull(), 0).when(F.col("doi").contains("/repo"), 1).otherwise(2)
     nodes = materialized(
         rows.groupBy("sig").agg(
             *[F.any_value(c).alias(c) for c in ("owner", "doi", "words", "main", "cut", "generic")], F.min("id").alias("node"), F.count(F.lit(1)).alias("n"),
             F.min("year").alias("y1"), F.max("year").alias("y2"), F.min("venue").alias("v1"), F.max("venue").alias("v2"),
-        )
+        ).withColumn("d", doi)
     )
     by_doi = nodes.where("doi is not null").select("node", _key(F.lit("D"), "owner", "doi").alias("hub"))
     titled = nodes.where("words <> '' and not generic")
     by_title = _year_runs(titled.select("node", "y1", "y2", _key(F.lit("T"), "owner", "words", "cut", F.when(F.col("cut"), F.col("v1"))).alias("key")))
     first = components(by_doi.unionByName(by_title))
-    nodes = materialized(nodes.join(first, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    second = _joined(materialized(_soft_links(nodes))).select(F.col("node").alias("label"), F.col("label").alias("final"))
-    return nodes.select("sig", "n", "label").join(second, "label", "left").select("sig", "n", F.coalesce("final", "label").alias("group_id"))
+    second = _joined(materialized(_soft_links(titled, first))).select(F.col("node").alias("label"), F.col("label").alias("final"))
+    labelled = nodes.select("sig", "n", "node").join(first, "node", "left").select("sig", "n", F.coalesce("label", "node").alias("label"))
+    return labelled.join(second, "label", "left").select("sig", "n", F.coalesce("final", "label").alias("group_id"))
 
 
 def _year_runs(titled: DataFrame) -> DataFrame:
@@ -188,6 +191,7 @@ def _year_runs(titled: DataFrame) -> DataFrame:
 
     Only keys that several nodes have are looked at further.
     """
+    titled = titled.repartition("key")  # one exchange for the count and for the join
     several = titled.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("y1").alias("a"), F.max("y2").alias("b")).where("lo < hi").select("key", "a", "b")
     t = titled.join(several, "key")
     loose = t.where("y1 is null or a is null or b - a <= 1 or y2 - y1 > 50").select("node", F.col("key").alias("hub"))
@@ -195,55 +199,53 @@ def _year_runs(titled: DataFrame) -> DataFrame:
     return loose.unionByName(dated.select("node", _key("key", "y").alias("hub")))
 
 
-def _soft_links(nodes: DataFrame) -> DataFrame:
+def _soft_links(titled: DataFrame, first: DataFrame) -> DataFrame:
     """(a, b): labels to be joined; a is a cut, shortened or mistyped title that fits exactly one paper b.
 
-    Candidates meet in blocks, hashes of an owner and some words, with numbers only; blocks in which no two
-    papers could meet go first, and the words are fetched for the candidates that are left.
+    titled: signatures with a title that tells something; first: (node, label) of those joined so far. Candidates
+    meet in blocks, hashes of an owner and some words, that carry nothing but the node; blocks in which nothing
+    can meet go first, and numbers and words are fetched for the candidates that are left.
     """
     words = F.split("words", " ")
     n = F.size(words)
     part = lambda s, e: F.array_join(F.slice(words, s, e), " ")
-    entry = lambda kind, role, text: F.struct(F.xxhash64(F.lit(kind), "owner", text).alias("block"), F.lit(role).alias("role"), F.lit(kind).alias("kind"))
+    block = lambda kind, text: F.xxhash64(F.lit(kind), "owner", text)
     half = F.floor(n / 2)
-    blocks = F.array_compact(
+    whole, cut = titled.where("not cut"), titled.where("cut")
+    # cut titles are the beginning of a whole one; those whose paper has a whole one already need no other
+    settled = cut.join(first, "node").select("node", "label").join(whole.join(first, "node").select("label").distinct(), "label", "left_semi").select("node")
+    open_cut = cut.join(settled, "node", "left_anti").select("node", block("cut", F.when(n > 6, part(1, 6)).when(n > 3, part(1, 3)).otherwise(part(1, 1))).alias("block"), F.lit(1).alias("role"), F.lit("cut").alias("kind"))
+    open_cut = materialized(open_cut)
+    begins = F.array_compact(F.array(F.when(n > 6, block("cut", part(1, 6))), F.when(n > 3, block("cut", part(1, 3))), block("cut", part(1, 1))))
+    begun = whole.select("node", F.explode(begins).alias("block")).join(open_cut.select("block").distinct(), "block", "left_semi").select("node", "block", F.lit(2).alias("role"), F.lit("cut").alias("kind"))
+    # a title that is another one's without the subtitle; typing errors: one half of the words is untouched
+    entry = lambda kind, role, text: F.struct(block(kind, text).alias("block"), F.lit(role).alias("role"), F.lit(kind).alias("kind"))
+    entries = F.array_compact(
         F.array(
-            # cut titles: the beginning of a whole title
-            F.when(F.col("cut"), entry("cut", 1, F.when(n > 6, part(1, 6)).when(n > 3, part(1, 3)).otherwise(part(1, 1)))),
-            F.when(~F.col("cut") & (n > 6), entry("cut", 2, part(1, 6))),
-            F.when(~F.col("cut") & (n > 3), entry("cut", 2, part(1, 3))),
-            F.when(~F.col("cut"), entry("cut", 2, part(1, 1))),
-            # a title that is another one's without the subtitle
-            F.when(~F.col("cut") & (F.col("main") == ""), entry("main", 1, F.col("words"))),
-            F.when(~F.col("cut") & (F.col("main") != ""), entry("main", 2, F.col("main"))),
-            # typing errors: one half of the words is untouched
-            F.when(~F.col("cut") & (n >= 4), entry("half", 3, F.concat(F.lit("1 "), n.cast("string"), F.lit(" "), part(1, half)))),
-            F.when(~F.col("cut") & (n >= 4), entry("half", 3, F.concat(F.lit("2 "), n.cast("string"), F.lit(" "), part(half + 1, n)))),
+            F.when(F.col("main") == "", entry("main", 1, F.col("words"))).otherwise(entry("main", 2, F.col("main"))),
+            F.when(n >= 4, entry("half", 3, F.concat(F.lit("1 "), n.cast("string"), F.lit(" "), part(1, half)))),
+            F.when(n >= 4, entry("half", 3, F.concat(F.lit("2 "), n.cast("string"), F.lit(" "), part(half + 1, n)))),
         )
     )
-    base = nodes.where("words <> '' and not generic")
-    doi = F.when(F.col("doi").isNull(), 0).when(F.col("doi").contains("/repo"), 1).otherwise(2)
-    facts = ["label", "owner", "y1", "y2", "v1", "v2", "d"]
-    # cut titles whose paper has a whole one already need no other
-    whole = nodes.where("not cut and words <> ''").select("label").distinct()
-    idle = base.where("cut").join(whole, "label", "left_semi").select("node")
-    keyed = base.join(idle, "node", "left_anti").withColumn("d", doi).select("node", *facts, F.explode(blocks).alias("k")).select("node", *facts, "k.block", "k.role", "k.kind")
+    others = whole.select("node", F.explode(entries).alias("k")).select("node", "k.block", "k.role", "k.kind")
     # lost letters anywhere: two neighbouring words are untouched; only owners of such titles take part
-    lost = base.where(~F.col("cut") & F.col("words").contains("�") & (n >= 3)).withColumn("d", doi)
+    lost = whole.where(F.col("words").contains("�") & (n >= 3))
     two = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array_join(F.slice(words, i, 2), " ")))).alias("t")
-    mates = base.where(~F.col("cut") & (n >= 3)).join(lost.select("owner").distinct(), "owner", "left_semi").withColumn("d", doi)
-    sides = [x.select("node", *facts, two, n.alias("n")).where(~F.col("t").contains("�")).select("node", *facts, F.xxhash64(F.lit("lost"), "owner", "t", "n").alias("block"), F.lit(r).alias("role"), F.lit("lost").alias("kind")) for x, r in ((lost, 1), (mates, 2))]
-    keyed = materialized(keyed.unionByName(sides[0]).unionByName(sides[1]))
-    busy = keyed.groupBy("block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("role").alias("r1"), F.max("role").alias("r2")).where("lo < hi and (r1 < r2 or r1 = 3)").select("block")
-    keyed = keyed.join(busy, "block")
-    a = keyed.where("role in (1, 3)").select("block", *[F.col(c).alias(f"a_{c}") for c in ("node", "kind", *facts)])
-    b = keyed.where("role in (2, 3)").select("block", *[F.col(c).alias(f"b_{c}") for c in ("node", "kind", *facts)])
+    mates = whole.where(n >= 3).join(lost.select("owner").distinct(), "owner", "left_semi")
+    sides = [x.select("node", "owner", two, n.alias("n")).where(~F.col("t").contains("�")).select("node", F.xxhash64(F.lit("lost"), "owner", "t", "n").alias("block"), F.lit(r).alias("role"), F.lit("lost").alias("kind")) for x, r in ((lost, 1), (mates, 2))]
+    keyed = reduce(DataFrame.unionByName, [open_cut, begun, others, *sides]).repartition("block")  # one exchange for the count and for the join
+    busy = keyed.groupBy("block").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("role").alias("r1"), F.max("role").alias("r2")).where("lo < hi and (r1 < r2 or r1 = 3)").select("block")
+    numbers = ["owner", "y1", "y2", "v1", "v2", "d"]
+    facts = titled.select("node", *numbers).join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    keyed = materialized(keyed.join(busy, "block").join(facts, "node"))
+    a = keyed.where("role in (1, 3)").select("block", *[F.col(c).alias(f"a_{c}") for c in ("node", "kind", "label", *numbers)])
+    b = keyed.where("role in (2, 3)").select("block", *[F.col(c).alias(f"b_{c}") for c in ("node", "kind", "label", *numbers)])
     years = F.col("a_y1").isNull() | F.col("b_y1").isNull() | ((F.col("a_y1") <= F.col("b_y2") + 1) & (F.col("b_y1") <= F.col("a_y2") + 1))
     venues = F.col("a_v1").isNull() | F.col("b_v1").isNull() | ((F.col("a_v1") <= F.col("b_v2")) & (F.col("b_v1") <= F.col("a_v2")))
     fits = (F.col("a_owner") == F.col("b_owner")) & (F.col("a_kind") == F.col("b_kind")) & (F.col("a_label") != F.col("b_label")) & years & venues & ((F.col("a_d") < 2) | (F.col("b_d") < 2))
     fits = fits & ((F.col("a_kind") != "half") | (F.col("a_label") < F.col("b_label")))
     near = a.join(b, "block").where(fits).select("a_node", "a_label", "b_node", "b_label", F.col("a_kind").alias("kind")).distinct()
-    text = lambda side: nodes.select(F.col("node").alias(f"{side}_node"), F.col("words").alias(f"{side}_words"), F.col("main").alias(f"{side}_main"))
+    text = lambda side: titled.select(F.col("node").alias(f"{side}_node"), F.col("words").alias(f"{side}_words"), F.col("main").alias(f"{side}_main"))
     near = materialized(near.join(text("a"), "a_node").join(text("b"), "b_node"))
     alike = near.where("kind in ('half', 'lost')").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"), F.col("a_words").alias("x"), F.col("b_words").alias("y")).distinct()
     typed = materialized(alike.mapInArrow(_typing_errors, "a bigint, b bigint").distinct())
