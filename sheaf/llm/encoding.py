@@ -109,7 +109,8 @@ class Clean:
         self.base = math.log(max(sum(self.one.values()), 1))
         self.memo: dict[tuple[str, str, str], float] = {}
         self.memo_own: dict[tuple[str, str, str], float] = {}
-        self.runs: dict[str, bool] = {}
+        self.runs: dict[str, tuple[str, ...]] = {}
+        self.paths: dict[str, list[tuple[int, int, str, str]]] = {}
 
     def score(self, key: tuple[str, str, str], own: bool = False) -> float:
         """own: the key's occurrence in the very text that is judged is among the counts."""
@@ -378,14 +379,19 @@ def label(text: str, clean: Clean) -> list[tuple[int, int, str, str]]:
     if not states:
         return []
     short, places = _compact(text)
-    return [(places[s], places[e - 1] + 1, state, undone) for s, e, state, undone in _viterbi(short, clean, states - {LOST})]
+    spans = clean.paths.get(short)
+    if spans is None:
+        if len(clean.paths) > 100_000:
+            clean.paths.clear()
+        spans = clean.paths[short] = _viterbi(short, clean, states - {LOST})
+    return [(places[s], places[e - 1] + 1, state, undone) for s, e, state, undone in spans]
 
 
-_INSIDE = re.compile("(?<=[\x00-\x7f])[\x00-\x7f]+(?=[\x00-\x7f])")
+_INSIDE = re.compile("^[\x00-\x7f]+(?=[\x00-\x7f])|(?<=[\x00-\x7f])[\x00-\x7f]+(?=[\x00-\x7f]|$)")
 
 
 def _compact(text: str) -> tuple[str, list[int]]:
-    """The text without the inside of its ASCII runs, which every state emits alike, and the old places."""
+    """The text without its ASCII characters that touch no other, which every state emits alike, and the old places."""
     parts, places, at = [], [], 0
     for m in _INSIDE.finditer(text):
         parts.append(text[at : m.start()])
