@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from sheaf.functions import peg
 from sheaf.llm.canonical import distance
 from sheaf.llm.lookalike import CYRILLIC, CYRILLIC_AS, GREEK, GREEK_AS
-from sheaf.session import checkpointed
+from sheaf.session import checkpointed, materialized
 
 #: Titles before a name, letters after it, particles of family names.
 TITLES = frozenset("dr prof professor a/prof aprof mr mrs ms miss mx sir dame emeritus emerita assoc associate asst assistant adj adjunct hon rev prof. dr.".split())
@@ -391,10 +391,12 @@ def _round(pairs: DataFrame, now: DataFrame) -> DataFrame:
     )
     sure = F.coalesce(F.col("one_yo"), F.lit(True)) & F.coalesce(F.col("one_yf"), F.lit(True)) & ((F.col("level") == 2) | F.coalesce(F.col("one_yg"), F.lit(True)))
     pick = per.groupBy("x").agg(F.max(F.struct("level", "top", sure.alias("sure"))).alias("p")).where("p.sure").select("x", F.col("p.top.y").alias("y"))
+    pick = materialized(pick)  # used several times below; else the plan would hold it as often
     back = pick.select(F.col("x").alias("y"), F.col("y").alias("z"))
     root = pick.join(back, "y", "left").select("x", F.when(F.col("z") == F.col("x"), F.least("x", "y")).otherwise(F.lit(None)).alias("mutual"), "y")
     mates = root.where("mutual is not null").select(F.col("x").alias("y"), F.col("mutual").alias("joined"))
     hooked = root.join(mates, "y", "left").select("x", F.coalesce("mutual", "joined").alias("new"), F.col("mutual").isNotNull().alias("firm")).where("new is not null")
+    hooked = materialized(hooked)
     who = now.select(F.col("entity").alias("x"), "orcid", "field").distinct()
     facts = hooked.join(who, "x").groupBy("new").agg(F.min("orcid").alias("o1"), F.max("orcid").alias("o2"), F.min("field").alias("f1"), F.max("field").alias("f2"))
     clean = facts.select("new", (F.coalesce(F.col("o1") == F.col("o2"), F.lit(True)) & F.coalesce(F.col("f1") == F.col("f2"), F.lit(True))).alias("whole"))
