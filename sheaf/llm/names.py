@@ -124,7 +124,7 @@ def parse(text: str) -> Name | None:
         return Name("".join(family), given, nick, None) if family else None
     # letters in capitals are initials when they follow a family name
     tokens = [t for t in raw.split() if fold(t).strip(".,") not in TITLES and fold(t).strip(",") not in TITLES]
-    while len(tokens) > 1 and fold(tokens[-1]).replace(".", "") in LETTERS and (tokens[-1].replace(".", "").isupper() or fold(tokens[-1]).strip(".") in ("jr", "sr")):
+    while len(tokens) > 2 and _after_name(tokens[-1]):  # of two tokens the last may be initials
         tokens.pop()
     if not tokens:
         return None
@@ -145,6 +145,12 @@ def parse(text: str) -> Name | None:
     return Name(family, given, nick, other) if family else None
 
 
+def _after_name(token: str) -> bool:
+    """Letters after a name, as AM or Jr; initials with dots are none."""
+    f = fold(token)
+    return f.strip(".") in ("jr", "sr") and not token.isupper() or f in LETTERS and token.isupper() or f.replace(".", "") in LETTERS and "." in token and not token.replace(".", "").isupper()
+
+
 def _words(text: str) -> list[str]:
     return [w.replace("-", "").strip(".") for w in fold(text).split() if w.strip(".,-")]
 
@@ -154,7 +160,7 @@ def _given(text: str) -> list[str]:
     for t in text.replace(",", " ").split():
         f = fold(t)
         bare = t.replace(".", "").replace("-", "")
-        if f.strip(".") in TITLES or f.replace(".", "") in LETTERS and t.isupper() and len(t) > 2:
+        if f.strip(".") in TITLES or len(bare) > 2 and _after_name(t):
             continue
         if "." in t or (bare.isupper() and len(bare) <= 3 and bare.isalpha() and len(bare) > 1):
             out += [c + "." for c in fold(bare)]

@@ -12,7 +12,7 @@ P = N.parse
     "text,family,full,initials",
     [
         ("Meiskpoan, James", "meiskpoan", "james", "j"), ("W.M. Toalmbrand", "toalmbrand", "", "wm"), ("Stállérnlune H.", "stallernlune", "", "h"), ("Brilm MJ", "brilm", "", "mj"),
-        ("Dr Ann von der Holt, PhD", "vonderholt", "ann", "a"), ("Рámb, Gregory", "pamb", "gregory", "g"), ("Ann Lee AM", "lee", "ann", "a"), ("von Grul, M.J.", "vongrul", "", "mj"), ("Ann Lee Jr", "lee", "ann", "a"),
+        ("Dr Ann von der Holt, PhD", "vonderholt", "ann", "a"), ("Рámb, Gregory", "pamb", "gregory", "g"), ("Ann Lee AM", "lee", "ann", "a"), ("von Grul, M.J.", "vongrul", "", "mj"), ("Ann Lee Jr", "lee", "ann", "a"), ("Gasknalm AO", "gasknalm", "", "ao"), ("B.A. Ferhamm", "ferhamm", "", "ba"), ("Lee, J.R.", "lee", "", "jr"), ("Ann Lee Ph.D.", "lee", "ann", "a"), ("Lee JR", "lee", "", "jr"),
     ],
 )
 def test_parse(text, family, full, initials):
