@@ -129,6 +129,16 @@ class Clean:
         return got
 
 
+_LATEST: list[Clean] = []
+
+
+def clean_of(counts: dict[tuple[str, str, str], int]) -> Clean:
+    """The model of these counts; a worker that goes on with the same broadcast keeps its model and what that remembers."""
+    if not _LATEST or _LATEST[0].n3 is not counts:
+        _LATEST[:] = [Clean(counts)]
+    return _LATEST[0]
+
+
 def _utf8_units(codes: list[int | None], size: list[int]) -> list[tuple[int, int, str]]:
     """(start, end, character) of valid UTF-8 sequences in a list of bytes (None: no byte)."""
     out, i, n = [], 0, len(codes)
@@ -498,7 +508,7 @@ def garbled(df: DataFrame, key: str, column: str, counts: dict[tuple[str, str, s
     shared = spark.sparkContext.broadcast(clean_counts(slim, "original") if counts is None else counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        clean = Clean(shared.value)
+        clean = clean_of(shared.value)
         for batch in batches:
             ids, old, new, states = [], [], [], []
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -519,7 +529,7 @@ def ungarbled(df: DataFrame, key: str, column: str, counts: dict[tuple[str, str,
     shared = df.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        clean = Clean(shared.value)
+        clean = clean_of(shared.value)
         for batch in batches:
             keep = pa.array([not label(t, clean) for t in batch.column(1).to_pylist()], pa.bool_())
             yield batch.filter(keep)

@@ -8,6 +8,7 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sheaf.llm import encoding, names
@@ -67,11 +68,10 @@ def _signature(title: str | None) -> tuple[str, str, bool]:
 
 def _read_titles(counts: dict) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        clean = encoding.Clean(counts.value)
+        clean = encoding.clean_of(counts.value)
         for b in batches:
-            cols = [c.to_pylist() for c in b.columns]
             rows = []
-            for title, doi in zip(cols[1], cols[2]):
+            for title, doi in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 spans = encoding.label(title, clean) if title and not title.isascii() else []
                 words, main, cut = _signature(encoding.restore(title, spans) if spans else title)
                 generic = words in GENERIC
@@ -114,14 +114,18 @@ def _key(*cols: Column | str) -> Column:
     return F.unhex(F.md5(F.concat_ws("\u0001", *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in cols])))
 
 
+def _shared(df: DataFrame, key: str, *more: Column) -> DataFrame:
+    """Rows of keys that several nodes have; by a window, so one exchange does for the count and the rows (it spills, if need be)."""
+    w = W.partitionBy(key)
+    return df.select("*", F.min("node").over(w).alias("_lo"), F.max("node").over(w).alias("_hi"), *[m.over(w).alias(f"_m{i}") for i, m in enumerate(more)]).where("_lo < _hi").drop("_lo", "_hi")
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, label): the smallest node reachable from each node of edges (node, hub), hubs being shared keys.
 
     Labels and hubs exchange minima until nothing changes; nodes of hubs that nobody shares are left out.
     """
-    edges = edges.repartition("hub")  # one exchange for the count and for the join
-    shared = edges.groupBy("hub").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("hub")
-    edges = materialized(edges.join(shared, "hub").select("node", "hub").distinct())
+    edges = materialized(_shared(edges, "hub").select("node", "hub").distinct())
     labels = edges.groupBy("node").agg(F.min("node").alias("label"))
     for _ in range(max_rounds):
         hubs = edges.join(labels, "node").groupBy("hub").agg(F.min("label").alias("low"))
@@ -191,9 +195,7 @@ def _year_runs(titled: DataFrame) -> DataFrame:
 
     Only keys that several nodes have are looked at further.
     """
-    titled = titled.repartition("key")  # one exchange for the count and for the join
-    several = titled.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("y1").alias("a"), F.max("y2").alias("b")).where("lo < hi").select("key", "a", "b")
-    t = titled.join(several, "key")
+    t = _shared(titled, "key", F.min("y1"), F.max("y2")).withColumnsRenamed({"_m0": "a", "_m1": "b"})
     loose = t.where("y1 is null or a is null or b - a <= 1 or y2 - y1 > 50").select("node", F.col("key").alias("hub"))
     dated = t.where("y1 is not null and b - a > 1 and y2 - y1 <= 50").select("node", F.explode(F.sequence(F.col("y1") - 1, F.col("y2"))).alias("y"), "key")
     return loose.unionByName(dated.select("node", _key("key", "y").alias("hub")))
@@ -233,11 +235,10 @@ def _soft_links(titled: DataFrame, first: DataFrame) -> DataFrame:
     two = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array_join(F.slice(words, i, 2), " ")))).alias("t")
     mates = whole.where(n >= 3).join(lost.select("owner").distinct(), "owner", "left_semi")
     sides = [x.select("node", "owner", two, n.alias("n")).where(~F.col("t").contains("�")).select("node", F.xxhash64(F.lit("lost"), "owner", "t", "n").alias("block"), F.lit(r).alias("role"), F.lit("lost").alias("kind")) for x, r in ((lost, 1), (mates, 2))]
-    keyed = reduce(DataFrame.unionByName, [open_cut, begun, others, *sides]).repartition("block")  # one exchange for the count and for the join
-    busy = keyed.groupBy("block").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("role").alias("r1"), F.max("role").alias("r2")).where("lo < hi and (r1 < r2 or r1 = 3)").select("block")
+    keyed = _shared(reduce(DataFrame.unionByName, [open_cut, begun, others, *sides]), "block", F.min("role"), F.max("role")).where("_m0 < _m1 or _m0 = 3").drop("_m0", "_m1")
     numbers = ["owner", "y1", "y2", "v1", "v2", "d"]
     facts = titled.select("node", *numbers).join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    keyed = materialized(keyed.join(busy, "block").join(facts, "node"))
+    keyed = materialized(keyed.join(facts, "node"))
     a = keyed.where("role in (1, 3)").select("block", *[F.col(c).alias(f"a_{c}") for c in ("node", "kind", "label", *numbers)])
     b = keyed.where("role in (2, 3)").select("block", *[F.col(c).alias(f"b_{c}") for c in ("node", "kind", "label", *numbers)])
     years = F.col("a_y1").isNull() | F.col("b_y1").isNull() | ((F.col("a_y1") <= F.col("b_y2") + 1) & (F.col("b_y1") <= F.col("a_y2") + 1))
