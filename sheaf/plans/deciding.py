@@ -96,6 +96,7 @@ def event_sessions(spark, d):
     from pyspark.sql import Window as W
 
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.col("ts").cast("double") - F.lag("ts").over(w).cast("double")
+    at = F.col("ts").cast("timestamp").cast("double")
+    gap = at - F.lag(at).over(w)
     e = table(spark, d, "events").select("user_id", F.when(gap <= 1800, 0).otherwise(1).alias("fresh"))
     return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_events"), F.sum("fresh").alias("n_sessions"))

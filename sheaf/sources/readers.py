@@ -37,9 +37,9 @@ def read_partitioned(spark: SparkSession, root: str, kind: str, sep: str = ",")
     return raw.select(*cells, F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("partition"), path.alias("file"), F.monotonically_increasing_id().alias("ord"))
 
 
-def read_json_rows(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A JSON array of rows, or one row a line."""
-    reader = spark.read.option("multiLine", True)
+def read_json_rows(spark: SparkSession, path: str, schema: str | None = None, lines: bool = False) -> DataFrame:
+    """A JSON array of rows in a file, or with lines one row a line."""
+    reader = spark.read.option("multiLine", not lines)
     return (reader.schema(schema) if schema else reader).json(path)
 
 

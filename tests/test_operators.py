@@ -15,7 +15,7 @@ def test_band_join_is_brute_force(spark):
     a = [(i, rnd.randrange(3), rnd.randrange(60)) for i in range(60)]
     x = spark.createDataFrame(a, "l bigint, k int, a int")
     y = spark.createDataFrame(a, "r bigint, k int, b int")
-    want = sorted((p, q) for p, k, u in a for q, m, v in a if k == m and abs(u - v) <= 4)
+    want = sorted(((p, q) for p, k, u in a for q, m, v in a if k == m and abs(u - v) <= 4), key=repr)
     assert rows(joins.band_join(x, y, ["k"], "a", "b", 4), "l", "r") == want
 
 

@@ -73,7 +73,7 @@ def test_sinks(spark, tmp_path):
     sinks.write_tables({"t": df}, str(tmp_path), "u", files=1)
     back = readers.read_csv(spark, f"{tmp_path}/u_t_csv").orderBy("id").collect()
     assert tuple(back[0]) == ("1", "2", "a; b", "'=x") and tuple(back[1]) == ("2", None, None, None)
-    assert readers.read_json_rows(spark, f"{tmp_path}/u_t_json", "id int, n double").count() == 2
+    assert readers.read_json_rows(spark, f"{tmp_path}/u_t_json", "id int, n double", lines=True).count() == 2
     sinks.write_audit(df.limit(0), f"{tmp_path}/audit")
     assert spark.read.parquet(f"{tmp_path}/audit").count() == 0
     root = str(tmp_path / "pub")
