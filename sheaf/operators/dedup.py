@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+import zlib
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sheaf.functions.similarity import ratio
-from sheaf.functions.text import part_marker, title_key
+from sheaf.functions.text import clean_text, part_marker, title_key
 from sheaf.session import materialized
 
 #: Thresholds of similarity and of the screen.
-NEAR_TITLE, TWIN_TITLE, YEARS_APART, SCREEN_SHARE, SCREEN_JUDGED, PREFIX_CHARS, PREFIX_WORDS = 0.85, 0.90, 1, 0.25, 5, 20, 4
+NEAR_TITLE, TWIN_TITLE, YEARS_APART, SCREEN_SHARE, SCREEN_JUDGED, PREFIX_WORDS = 0.85, 0.90, 1, 0.25, 5, 4
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -43,26 +47,82 @@ def fill_from_twins(df: DataFrame, keys: Sequence[str], order: str, fill: Sequen
     )
 
 
-def near_pairs(df: DataFrame, row_id: str, owner: str, title: str, year: str, doi: str) -> DataFrame:
+def near_pairs(df: DataFrame, row_id: str, owner: str, title: str, year: str, doi: str, chunk: int = 4000) -> DataFrame:
     """(a, b, similarity): different titles of one owner that are nearly the same, a < b.
 
-    Only rows that share the owner and one half of the title's words, or its first or last three words, meet;
-    equal keys are left to exact deduplication, so copies don't multiply. Part markers that differ, years more
+    All titles of one owner meet; what can't reach NEAR_TITLE is ruled out by bounds that never lose a pair (see _signed),
+    so the result is that of comparing every two. Owners with more than chunk titles are cut into chunks, and
+    each two chunks meet in a block of their own, so no task holds a whole large owner. Markup and accents don't
+    count; equal keys are left to exact deduplication, so copies don't multiply. Part markers that differ, years more
     than one apart and two different DOIs rule a pair out before the ratio is taken.
     """
-    base = df.select(F.col(row_id).alias("id"), F.col(owner).alias("owner"), title_key(title).alias("k"), part_marker(title).alias("part"), F.col(year).alias("y"), F.col(doi).alias("d"))
-    base = base.where(F.length("k") >= PREFIX_CHARS)
-    one = base.groupBy("owner", "k", "part").agg(F.min("id").alias("id"), F.min("y").alias("y1"), F.max("y").alias("y2"), F.min("d").alias("d"))
-    w, n = F.split("k", " "), F.size(F.split("k", " "))
-    cut = lambda s, e: F.array_join(F.slice(w, s, e), " ")
-    blocks = F.array_distinct(F.array(cut(1, F.floor(n / 2)), cut(F.floor(n / 2) + 1, n), cut(1, 3), cut(F.greatest(n - 2, F.lit(1)), 3)))
-    keyed = materialized(one.where(n >= 4).withColumn("block", F.explode(blocks)))
-    a = keyed.select("owner", "block", *[F.col(c).alias(f"a_{c}") for c in ("id", "k", "part", "y1", "y2", "d")])
-    b = keyed.select("owner", "block", *[F.col(c).alias(f"b_{c}") for c in ("id", "k", "part", "y1", "y2", "d")])
+    base = df.select(F.col(row_id).alias("id"), F.col(owner).alias("owner"), title_key(title).alias("k"), F.when(F.col(title).rlike("[<&]|[^\\x00-\\x7f]"), F.col(title)).alias("raw"), part_marker(title).alias("part"), F.col(year).alias("y"), F.col(doi).alias("d"))
+    base = base.where(F.col("owner").isNotNull() & F.col("k").isNotNull())
+    one = base.groupBy("owner", "k", "raw", "part").agg(F.min("id").alias("id"), F.min("y").alias("y1"), F.max("y").alias("y2"), F.min("d").alias("d"))
+    facts = ("id", "k", "c", "part", "y1", "y2", "d", *_SIGNS)
+    kinds = {f.name: f.dataType.simpleString() for f in one.schema}
+    signed = materialized(one.mapInArrow(_signed, ", ".join(f"{c} {kinds[c]}" for c in ("owner", "id", "k", "part", "y1", "y2", "d")) + ", c string, " + ", ".join(f"{c} bigint" for c in _SIGNS)))
+    large = signed.groupBy("owner").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).select("owner", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
+    placed = signed.join(F.broadcast(large), "owner", "left").withColumn("last", F.coalesce(F.col("chunks") - 1, F.lit(0))).withColumn("own", F.pmod(F.hash("k"), F.col("last") + 1))
+    a = placed.withColumn("other", F.explode(F.sequence("own", "last"))).select("owner", F.col("own").alias("lo"), F.col("other").alias("hi"), *[F.col(c).alias(f"a_{c}") for c in facts])
+    b = placed.withColumn("other", F.explode(F.sequence(F.lit(0), "own"))).select("owner", F.col("other").alias("lo"), F.col("own").alias("hi"), *[F.col(c).alias(f"b_{c}") for c in facts])
     years = F.col("a_y1").isNull() | F.col("b_y1").isNull() | ((F.col("a_y1") <= F.col("b_y2") + YEARS_APART) & (F.col("b_y1") <= F.col("a_y2") + YEARS_APART))
     dois = F.col("a_d").isNull() | F.col("b_d").isNull() | (F.col("a_d") == F.col("b_d"))
-    near = a.join(b, ["owner", "block"]).where((F.col("a_id") < F.col("b_id")) & (F.col("a_part") == F.col("b_part")) & years & dois & (F.abs(F.length("a_k") - F.length("b_k")) <= 0.3 * F.greatest(F.length("a_k"), F.length("b_k"))))
-    return near.select("a_id", "b_id", "a_k", "b_k").distinct().mapInArrow(_ratios, "a bigint, b bigint, similarity double")
+    once = (F.col("lo") < F.col("hi")) | (F.col("a_id") < F.col("b_id"))
+    near = a.join(b, ["owner", "lo", "hi"]).where(once & (F.col("a_k") != F.col("b_k")) & (F.col("a_part") == F.col("b_part")) & years & dois & _may_be_near("a_", "b_"))
+    swap = F.col("a_id") > F.col("b_id")
+    first = lambda c: F.when(swap, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}"))
+    second = lambda c: F.when(swap, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}"))
+    return near.select(first("id").alias("a"), second("id").alias("b"), first("c").alias("x"), second("c").alias("y")).mapInArrow(_ratios, "a bigint, b bigint, similarity double")
+
+
+#: Columns of a title's signature of 512 bits.
+_SIGNS = tuple(f"s{i}" for i in range(8))
+
+
+def _may_be_near(a: str, b: str) -> Column:
+    """False only where the ratio is sure to be below NEAR_TITLE.
+
+    With S characters in both and M matched ones, ratio = 2 M / S, so M >= NEAR_TITLE / 2 * S. The S - 2 M unmatched ones
+    cut the match into at most S - 2 M + 1 blocks, so at least M - (S - 2 M + 1) >= (1.5 * NEAR_TITLE - 1) * S - 1 pairs of
+    neighbouring characters are common, and of a title of n characters (n - 1 pairs) at most n - (1.5 * NEAR_TITLE - 1) * S
+    are not. Each bit that only one signature has is one of those.
+    """
+    n, m = F.length(f"{a}c"), F.length(f"{b}c")
+    least = (n + m) * (1.5 * NEAR_TITLE - 1)
+    only = lambda p, q: sum((F.bit_count(F.col(f"{p}{c}").bitwiseAND(F.bitwise_not(f"{q}{c}"))) for c in _SIGNS[1:]), F.bit_count(F.col(f"{p}{_SIGNS[0]}").bitwiseAND(F.bitwise_not(f"{q}{_SIGNS[0]}"))))
+    return (2 * F.least(n, m) >= NEAR_TITLE * (n + m) - 1e-6) & (only(a, b) <= n - least + 1e-6) & (only(b, a) <= m - least + 1e-6)
+
+
+def _comparable(raw: str) -> str:
+    """The key of a title without markup and accents."""
+    plain = "".join(c for c in unicodedata.normalize("NFKD", clean_text(raw)) if not unicodedata.combining(c))
+    return re.sub("[^a-z0-9]+", " ", plain.lower()).strip()
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with what is compared (c) and its signature: a hashed bit for each pair of neighbouring characters, repeated ones numbered. Rows without any ASCII letter or digit go."""
+    bits: dict[tuple[str, int], int] = {}
+    for batch in batches:
+        rows = {n: batch.column(n) for n in batch.schema.names}
+        text = [k if raw is None else _comparable(raw) for k, raw in zip(rows["k"].to_pylist(), rows["raw"].to_pylist())]
+        signs = []
+        for t in text:
+            seen: dict[str, int] = {}
+            sign = 0
+            for i in range(len(t) - 1):
+                g = t[i : i + 2]
+                seen[g] = n = seen.get(g, 0) + 1
+                bit = bits.get((g, n))
+                if bit is None:
+                    bit = bits[g, n] = 1 << zlib.crc32(f"{g}{n}".encode()) % 512
+                sign |= bit
+            signs.append(sign.to_bytes(64, "little"))
+        words = np.frombuffer(b"".join(signs), dtype="<i8").reshape(-1, len(_SIGNS))
+        keep = pa.array([t != "" for t in text], pa.bool_())
+        names = ["owner", "id", "k", "part", "y1", "y2", "d"]
+        out = pa.RecordBatch.from_arrays([*[rows[n] for n in names], pa.array(text, pa.string()), *[pa.array(np.ascontiguousarray(words[:, i])) for i in range(len(_SIGNS))]], [*names, "c", *_SIGNS])
+        yield out.filter(keep)
 
 
 def _ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -110,6 +110,47 @@ def test_near_pairs_and_representatives(spark):
     assert {r.id: r.representative for r in dedup.representatives(chain).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 10: 10, 11: 10}
 
 
+def test_near_pairs_are_brute_force(spark):
+    from sheaf.functions.similarity import ratio
+
+    rnd = random.Random(11)
+    words = "audit credit market rotation hospital boards firm ledger yield of on the a two period model risk in cash".split()
+    data = []
+    for who in (1, 2):
+        for _ in range(12):
+            base = " ".join(rnd.choices(words, k=rnd.randrange(1, 14)))
+            for _ in range(6):
+                t = list(base)
+                for _ in range(rnd.randrange(0, 1 + len(t) // 5)):
+                    at = rnd.randrange(len(t))
+                    t[at] = rnd.choice(["", "x", t[at] + "e", " "])
+                data.append((len(data), who, " ".join("".join(t).split()), rnd.choice([2000, 2001, 2004, None]), rnd.choice([None, "10.1234/a", "10.1234/b"])))
+    first = {}
+    for i, who, t, y, d in data:
+        first.setdefault((who, t), (i, y, d))
+    data = [(i, who, t, y, d) for (who, t), (i, y, d) in first.items() if t]
+    want = {
+        (i, j)
+        for i, p, s, y, d in data
+        for j, q, t, z, e in data
+        if i < j and p == q and (y is None or z is None or abs(y - z) <= 1) and (d is None or e is None or d == e) and ratio(s, t) >= 0.85
+    }
+    df = spark.createDataFrame(data, "id bigint, who int, title string, year int, doi string")
+    assert len(want) > 40
+    for chunk in (4000, 9):
+        got = [(r.a, r.b) for r in dedup.near_pairs(df, "id", "who", "title", "year", "doi", chunk).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_near_pairs_markup_accents_and_short_titles(spark):
+    data = [
+        (1, 1, "the <i>rotational effect</i> of credit", 2001, None), (2, 1, "the rotational effect of credit", 2001, None), (3, 2, "Énergie à Évry", 2001, None), (4, 2, "Energie a Evry", 2001, None),
+        (5, 3, "audit firms", 2001, None), (6, 3, "audit firm", 2001, None), (7, 3, "监管", 2001, None), (8, 3, "审计", 2001, None),
+    ]
+    df = spark.createDataFrame(data, "id bigint, who int, title string, year int, doi string")
+    assert rows(dedup.near_pairs(df, "id", "who", "title", "year", "doi"), "a", "b") == [(1, 2), (3, 4), (5, 6)]
+
+
 def test_representatives_are_greedy(spark):
     rnd = random.Random(5)
     edges = {tuple(sorted(rnd.sample(range(25), 2))) for _ in range(40)}
