@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sheaf.functions.identifiers import dedup_doi
 from sheaf.functions.similarity import ratio
 from sheaf.functions.text import clean_text, part_marker, title_key
 from sheaf.session import materialized
@@ -20,6 +21,9 @@ from sheaf.session import materialized
 #: Thresholds of similarity and of the screen.
 NEAR_TITLE, TWIN_TITLE, YEARS_APART, SCREEN_SHARE, SCREEN_JUDGED, PREFIX_WORDS = 0.85, 0.90, 1, 0.25, 5, 4
 
+#: Fixed value: DOIs that name a repository's copy rather than the paper.
+REPOSITORY_PREFIX = "10.99200/"
+
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key, chosen by one map-side combinable minimum over (order, row) instead of a window."""
@@ -54,11 +58,12 @@ def near_pairs(df: DataFrame, row_id: str, owner: str, title: str, year: str, do
     so the result is that of comparing every two. Owners with more than chunk titles are cut into chunks, and
     each two chunks meet in a block of their own, so no task holds a whole large owner. Markup and accents don't
     count; equal keys are left to exact deduplication, so copies don't multiply. Part markers that differ, years more
-    than one apart and two different DOIs rule a pair out before the ratio is taken.
+    than one apart and DOIs of which none is common rule a pair out before the ratio is taken; DOIs are normalised,
+    unusable ones and those of repositories are none.
     """
-    base = df.select(F.col(row_id).alias("id"), F.col(owner).alias("owner"), title_key(title).alias("k"), F.when(F.col(title).rlike("[<&]|[^\\x00-\\x7f]"), F.col(title)).alias("raw"), part_marker(title).alias("part"), F.col(year).alias("y"), F.col(doi).alias("d"))
+    base = df.select(F.col(row_id).alias("id"), F.col(owner).alias("owner"), title_key(title).alias("k"), F.when(F.col(title).rlike("[<&]|[^\\x00-\\x7f]"), F.col(title)).alias("raw"), part_marker(title).alias("part"), F.col(year).alias("y"), dedup_doi(doi, REPOSITORY_PREFIX).alias("d"))
     base = base.where(F.col("owner").isNotNull() & F.col("k").isNotNull())
-    one = base.groupBy("owner", "k", "raw", "part").agg(F.min("id").alias("id"), F.min("y").alias("y1"), F.max("y").alias("y2"), F.min("d").alias("d"))
+    one = base.groupBy("owner", "k", "raw", "part").agg(F.min("id").alias("id"), F.min("y").alias("y1"), F.max("y").alias("y2"), F.collect_set("d").alias("d"))
     facts = ("id", "k", "c", "part", "y1", "y2", "d", *_SIGNS)
     kinds = {f.name: f.dataType.simpleString() for f in one.schema}
     signed = materialized(one.mapInArrow(_signed, ", ".join(f"{c} {kinds[c]}" for c in ("owner", "id", "k", "part", "y1", "y2", "d")) + ", c string, " + ", ".join(f"{c} bigint" for c in _SIGNS)))
@@ -67,7 +72,7 @@ def near_pairs(df: DataFrame, row_id: str, owner: str, title: str, year: str, do
     a = placed.withColumn("other", F.explode(F.sequence("own", "last"))).select("owner", F.col("own").alias("lo"), F.col("other").alias("hi"), *[F.col(c).alias(f"a_{c}") for c in facts])
     b = placed.withColumn("other", F.explode(F.sequence(F.lit(0), "own"))).select("owner", F.col("other").alias("lo"), F.col("own").alias("hi"), *[F.col(c).alias(f"b_{c}") for c in facts])
     years = F.col("a_y1").isNull() | F.col("b_y1").isNull() | ((F.col("a_y1") <= F.col("b_y2") + YEARS_APART) & (F.col("b_y1") <= F.col("a_y2") + YEARS_APART))
-    dois = F.col("a_d").isNull() | F.col("b_d").isNull() | (F.col("a_d") == F.col("b_d"))
+    dois = (F.size("a_d") == 0) | (F.size("b_d") == 0) | F.arrays_overlap("a_d", "b_d")
     once = (F.col("lo") < F.col("hi")) | (F.col("a_id") < F.col("b_id"))
     near = a.join(b, ["owner", "lo", "hi"]).where(once & (F.col("a_k") != F.col("b_k")) & (F.col("a_part") == F.col("b_part")) & years & dois & _may_be_near("a_", "b_"))
     swap = F.col("a_id") > F.col("b_id")

@@ -151,6 +151,15 @@ def test_near_pairs_markup_accents_and_short_titles(spark):
     assert rows(dedup.near_pairs(df, "id", "who", "title", "year", "doi"), "a", "b") == [(1, 2), (3, 4), (5, 6)]
 
 
+def test_near_pairs_compare_normal_dois(spark):
+    base = "the layered effect of audit rotation on family firms"
+    doi = [("10.1234/y", " DOI: 10.1234/Y "), ("10.1234/y", ""), ("10.1234/y", "n/a"), ("10.1234/y", "10.99200/z"), ("10.1234/y", "10.1234/z")]
+    data = [(10 * who + i, who, base + "s" * i, 2001, d) for who, pair in enumerate(doi) for i, d in enumerate(pair)]
+    data += [(100, 9, base, 2001, "10.1234/a"), (101, 9, base, 2001, "10.1234/c"), (102, 9, base + "s", 2001, "10.1234/c")]
+    df = spark.createDataFrame(data, "id bigint, who int, title string, year int, doi string")
+    assert rows(dedup.near_pairs(df, "id", "who", "title", "year", "doi"), "a", "b") == [(0, 1), (10, 11), (100, 102), (20, 21), (30, 31)]
+
+
 def test_representatives_are_greedy(spark):
     rnd = random.Random(5)
     edges = {tuple(sorted(rnd.sample(range(25), 2))) for _ in range(40)}
