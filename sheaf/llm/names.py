@@ -342,7 +342,7 @@ def _compatible(x: str, y: str):
     return F.col(x).isNull() | F.col(y).isNull() | (F.col(x) == F.col(y))
 
 
-def resolve(people: DataFrame, key: str, name: str, orcid: str, field: str, max_rounds: int = 50) -> DataFrame:
+def resolve(people: DataFrame, key: str, name: str, orcid: str, field: str, max_rounds: int = 1000) -> DataFrame:
     """(key, name, entity): every key with a name, and the smallest key of the person it belongs to.
 
     Two valid ORCIDs or two fields that differ make two persons. Pairs of profiles that both have an ORCID
@@ -377,6 +377,8 @@ def resolve(people: DataFrame, key: str, name: str, orcid: str, field: str, max_
         if not now.where("changed").limit(1).count():
             break
         now = now.drop("changed")
+    else:
+        raise RuntimeError(f"resolve: profiles still merge after {max_rounds} rounds")
     return nodes.select("key", "name", "node").join(now.select("node", "entity"), "node").select("key", "name", "entity")
 
 

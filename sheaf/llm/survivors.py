@@ -120,10 +120,10 @@ def _shared(df: DataFrame, key: str, *more: Column) -> DataFrame:
     return df.select("*", F.min("node").over(w).alias("_lo"), F.max("node").over(w).alias("_hi"), *[m.over(w).alias(f"_m{i}") for i, m in enumerate(more)]).where("_lo < _hi").drop("_lo", "_hi")
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(node, label): the smallest node reachable from each node of edges (node, hub), hubs being shared keys.
 
-    Labels and hubs exchange minima until nothing changes; nodes of hubs that nobody shares are left out.
+    Labels and hubs exchange minima until nothing changes, unfinished labels are an error; nodes of hubs that nobody shares are left out.
     """
     edges = materialized(_shared(edges, "hub").select("node", "hub").distinct())
     labels = edges.groupBy("node").agg(F.min("node").alias("label"))
@@ -134,8 +134,8 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         moved = new.where("label <> old").limit(1).count()
         labels = new.select("node", "label")
         if not moved:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components: labels still change after {max_rounds} rounds")
 
 
 def _typing_errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -142,7 +142,8 @@ def representatives(pairs: DataFrame, max_rounds: int = 30) -> DataFrame:
     """(id, representative): greedy clusters in order of id: a row whose near rows are all represented or later is one itself.
 
     Distributed form of going through the rows in order and comparing with representatives only: in each
-    round undecided rows without an undecided smaller neighbour are decided.
+    round a row is decided once its smallest near representative precedes every undecided smaller neighbour, or
+    none of those is left. What long chains leave undecided after max_rounds is decided in order in one pass.
     """
     pairs = materialized(pairs.select("a", "b").distinct())
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -150,13 +151,27 @@ def representatives(pairs: DataFrame, max_rounds: int = 30) -> DataFrame:
     for _ in range(max_rounds):
         before = state.select(F.col("id").alias("a"), F.col("rep").alias("a_rep"))
         smaller = pairs.join(before, "a").groupBy(F.col("b").alias("id")).agg(
-            F.max(F.col("a_rep").isNull().cast("int")).alias("open"), F.min(F.when(F.col("a_rep") == F.col("a"), F.col("a"))).alias("near")
+            F.min(F.when(F.col("a_rep").isNull(), F.col("a"))).alias("open"), F.min(F.when(F.col("a_rep") == F.col("a"), F.col("a"))).alias("near")
         )
-        new = state.join(smaller, "id", "left").select("id", F.when(F.col("rep").isNotNull(), F.col("rep")).when(F.coalesce("open", F.lit(0)) == 0, F.coalesce("near", "id")).alias("rep"))
-        state = materialized(new)
+        settled = F.when(F.col("open").isNull(), F.coalesce("near", "id")).when(F.col("near") < F.col("open"), F.col("near"))
+        state = materialized(state.join(smaller, "id", "left").select("id", F.coalesce("rep", settled).alias("rep")))
         if not state.where("rep is null").limit(1).count():
-            break
-    return state.select("id", F.col("rep").alias("representative"))
+            return state.select("id", F.col("rep").alias("representative"))
+    rest = state.where("rep is null").select("id")
+    known = state.select(F.col("id").alias("a"), F.col("rep").alias("a_rep"))
+    edges = rest.join(pairs.withColumnRenamed("b", "id"), "id").join(known, "a").select("id", "a", (F.col("a_rep") == F.col("a")).alias("sure"))
+    last = edges.repartition(1).sortWithinPartitions("id", "a").mapInArrow(_in_order, "id bigint, representative bigint")
+    return state.where("rep is not null").select("id", F.col("rep").alias("representative")).unionByName(last)
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Representatives of undecided rows from (id, a, sure), sorted: their smaller neighbours and whether those are representatives, null if undecided."""
+    chosen: dict[int, int] = {}
+    for batch in batches:
+        for i, a, sure in zip(*(c.to_pylist() for c in batch.columns)):
+            if chosen.setdefault(i, i) == i and (sure or (sure is None and chosen[a] == a)):
+                chosen[i] = a
+    yield pa.RecordBatch.from_arrays([pa.array(list(v), pa.int64()) for v in (chosen.keys(), chosen.values())], ["id", "representative"])
 
 
 def outlier_screen(items: DataFrame, owner: str, judged: Column, rated: Column) -> DataFrame:

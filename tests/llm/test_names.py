@@ -97,3 +97,9 @@ def test_typing_errors_meet_in_blocks():
         i = rnd.randrange(9)
         v = rnd.choice([w[:i] + w[i + 1 :], w[:i] + rnd.choice("xyz") + w[i + 1 :], w[:i] + w[i + 1 : i + 2] + w[i] + w[i + 2 :]])
         assert N.block_keys(P(f"Ann {w}")) & N.block_keys(P(f"A. {v}")), (w, v)
+
+
+def test_unfinished_merging_is_an_error(spark):
+    df = spark.createDataFrame([(1, "Rebecca Holtmann", None, "Finance", ""), (2, "Becky Holtmann", None, "Finance", "")], SCHEMA)
+    with pytest.raises(RuntimeError):
+        N.resolve(df, "researcher_id", "name", "orcid", "field_of_research", 1)

@@ -85,3 +85,10 @@ def test_survivors_are_brute_force(spark):
     got = {tuple(r) for r in S.survivors(read(spark, rows)).collect()}
     assert got == brute(rows, {"doiregistry": 1, "openindex": 2}, members.values())
     assert (1, "source", 1) in got and (1, "title", 3) in got
+
+
+def test_components_of_a_long_chain_are_whole(spark):
+    edges = spark.createDataFrame([(i + j, f"h{i}") for i in range(45) for j in (0, 1)], "node bigint, hub string")
+    assert {r.label for r in S.components(edges).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        S.components(edges, 3)

@@ -174,6 +174,16 @@ def test_representatives_are_greedy(spark):
     assert {r.id: r.representative for r in got.collect()} == want
 
 
+def test_representatives_of_cliques_and_chains(spark):
+    clique = [(a, b) for a in range(40) for b in range(a + 1, 40)]
+    got = dedup.representatives(spark.createDataFrame(clique, "a bigint, b bigint"), 2)
+    assert {tuple(r) for r in got.collect()} == {(i, 0) for i in range(40)}
+    chain = [(i, i + 1) for i in range(49)] + [(50, 51), (48, 60), (49, 60)]
+    for most in (1, 4, 30):
+        got = {r.id: r.representative for r in dedup.representatives(spark.createDataFrame(chain, "a bigint, b bigint"), most).collect()}
+        assert got == {i: i - i % 2 for i in range(52)} | {60: 48}
+
+
 def test_screen_threshold(spark):
     data = [("low", "j", "A" if i == 0 else None) for i in range(5)] + [("edge", "j", "A" if i == 0 else None) for i in range(4)] + [("few", "j", None)] * 4 + [("none", None, None)] * 9
     df = spark.createDataFrame(data, "who string, j string, r string")
