@@ -425,34 +425,25 @@ def same_person_pairs(resolved: DataFrame) -> DataFrame:
 def author_entries(papers: DataFrame, paper_id: str, person_key: str, authors: str, resolved: DataFrame) -> DataFrame:
     """(paper_id, key, pos, entry, name): the entry of each paper's author list that is the paper's own researcher.
 
-    The list is split into its entries; each is compared with the researcher's own spelling and with the
-    person's longest one with a given name, and the best one wins, of equals the first. Papers whose list
-    doesn't hold the researcher, or whose key has no name, give no row. Null and blank lists hold nobody.
+    The list is split into its entries; each is compared with all spellings of the person, and the best one wins,
+    of equals the first. Papers whose list doesn't hold the researcher, or whose key has no name, give no row.
+    Null and blank lists hold nobody.
     """
-    full = F.length("name") * F.when(F.col("name").rlike(r"^\P{L}*\p{L}\.|\s\p{L}\.?$|,\s*\p{L}\."), 0).otherwise(1)
-    best = resolved.groupBy("entity").agg(F.max(F.struct(full.alias("n"), "name")).getField("name").alias("longest"))
-    who = resolved.join(best, "entity").select("key", "name", "longest")
+    spelt = resolved.groupBy("entity").agg(F.array_sort(F.collect_set("name")).alias("spellings"))
+    who = resolved.join(spelt, "entity").select("key", "name", "spellings")
     slim = papers.select(F.col(paper_id).cast("bigint").alias("paper_id"), F.col(person_key).cast("bigint").alias("key"), F.col(authors).cast("string").alias("authors"))
-    return slim.where(F.col("authors").isNotNull()).join(who, "key").select("paper_id", "key", "authors", "name", "longest").mapInArrow(_own_entry, "paper_id bigint, key bigint, pos int, entry string, name string")
-
-
-def _hints(n: Name) -> tuple[str, ...]:
-    """Beginnings and ends of the family name, one of which every entry of the person holds."""
-    families = [n.family, *([n.other[0]] if n.other else [])]
-    return tuple(dict.fromkeys(x for f in families for x in ((f[:3], f[-3:]) if len(f) > 3 else (f,))))
+    return slim.where(F.col("authors").isNotNull()).join(who, "key").select("paper_id", "key", "authors", "name", "spellings").mapInArrow(_own_entry, "paper_id bigint, key bigint, pos int, entry string, name string")
 
 
 def _own_entry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for paper, key, authors, name, longest in zip(*(c.to_pylist() for c in b.columns)):
-            own = [n for n in {parse(name), parse(longest)} if n is not None]
-            hints = {h for n in own for h in _hints(n)}
+        for paper, key, authors, name, spellings in zip(*(c.to_pylist() for c in b.columns)):
+            own = list(dict.fromkeys(n for n in map(parse, spellings) if n is not None))
+            if not own:
+                continue
             best, found = 2, None
             for pos, v, _ in peg.parse(authors, True):
-                flat = fold(v).replace("-", "").replace(" ", "")
-                if not any(h in flat for h in hints):
-                    continue
                 n = parse(v)
                 s = max(score(n, o) for o in own) if n is not None else 0
                 if s > best:

@@ -103,3 +103,11 @@ def test_unfinished_merging_is_an_error(spark):
     df = spark.createDataFrame([(1, "Rebecca Holtmann", None, "Finance", ""), (2, "Becky Holtmann", None, "Finance", "")], SCHEMA)
     with pytest.raises(RuntimeError):
         N.resolve(df, "researcher_id", "name", "orcid", "field_of_research", 1)
+
+
+def test_own_entries_with_any_typing_error_and_any_spelling(spark):
+    res = spark.createDataFrame([(1, "Nicholas Tiircz", 1), (2, "John Smith", 2), (3, "Rebecca Holtmann", 3), (4, "Rebecca Jane Holtmann", 3), (5, "R. Hxltmxnn", 3)], "key bigint, name string, entity bigint")
+    pubs = [(10, 1, "Ann Lee; Nicholas Tiricz"), (11, 2, "John Smyth; Ann Lee"), (12, 4, "Ann Lee; R. Hxltmxnn"), (13, 3, "Ann Lee; Karl Ozbek")]
+    df = spark.createDataFrame(pubs, "publication_id bigint, researcher_id bigint, authors string")
+    got = {r.paper_id: r.pos for r in N.author_entries(df, "publication_id", "researcher_id", "authors", res).collect()}
+    assert got == {10: 2, 11: 1, 12: 2}
