@@ -51,7 +51,7 @@ def fill_from_twins(df: DataFrame, keys: Sequence[str], order: str, fill: Sequen
     )
 
 
-def near_pairs(df: DataFrame, row_id: str, owner: str, title: str, year: str, doi: str, chunk: int = 4000) -> DataFrame:
+def near_pairs(df: DataFrame, row_id: str, owner: str, title: str, year: str, doi: str, chunk: int = 4000, per_doi: bool = False) -> DataFrame:
     """(a, b, similarity): different titles of one owner that are nearly the same, a < b.
 
     All titles of one owner meet; what can't reach NEAR_TITLE is ruled out by bounds that never lose a pair (see _signed),
@@ -59,11 +59,11 @@ def near_pairs(df: DataFrame, row_id: str, owner: str, title: str, year: str, do
     each two chunks meet in a block of their own, so no task holds a whole large owner. Markup and accents don't
     count; equal keys are left to exact deduplication, so copies don't multiply. Part markers that differ, years more
     than one apart and DOIs of which none is common rule a pair out before the ratio is taken; DOIs are normalised,
-    unusable ones and those of repositories are none.
+    unusable ones and those of repositories are none. A title is one row, the first; with per_doi, one for each DOI.
     """
     base = df.select(F.col(row_id).alias("id"), F.col(owner).alias("owner"), title_key(title).alias("k"), F.when(F.col(title).rlike("[<&]|[^\\x00-\\x7f]"), F.col(title)).alias("raw"), part_marker(title).alias("part"), F.col(year).alias("y"), dedup_doi(doi, REPOSITORY_PREFIX).alias("d"))
     base = base.where(F.col("owner").isNotNull() & F.col("k").isNotNull())
-    one = base.groupBy("owner", "k", "raw", "part").agg(F.min("id").alias("id"), F.min("y").alias("y1"), F.max("y").alias("y2"), F.collect_set("d").alias("d"))
+    one = base.withColumn("same", F.col("d") if per_doi else F.lit(None).cast("string")).groupBy("owner", "k", "raw", "part", "same").agg(F.min("id").alias("id"), F.min("y").alias("y1"), F.max("y").alias("y2"), F.collect_set("d").alias("d")).drop("same")
     facts = ("id", "k", "c", "part", "y1", "y2", "d", *_SIGNS)
     kinds = {f.name: f.dataType.simpleString() for f in one.schema}
     signed = materialized(one.mapInArrow(_signed, ", ".join(f"{c} {kinds[c]}" for c in ("owner", "id", "k", "part", "y1", "y2", "d")) + ", c string, " + ", ".join(f"{c} bigint" for c in _SIGNS)))

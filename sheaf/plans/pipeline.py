@@ -52,6 +52,17 @@ def screen(pubs: DataFrame, retrieved: list[str]) -> tuple[DataFrame, DataFrame]
     return marked.where("not gone").drop("flagged", "gone"), marked.where("gone").select("publication_id", F.lit("screened").alias("reason"))
 
 
+def drop_near_duplicates(pubs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept, dropped): nearly equal titles of one owner are one row, the representative, its blanks filled from its twins."""
+    reps = materialized(dedup.representatives(dedup.near_pairs(pubs, "publication_id", "researcher_id", "title", "year", "doi", per_doi=True)))
+    venue, rest = ["journal_id", "journal_name", "impact_factor", "match_method"], pubs.columns
+    near = pubs.join(reps, pubs["publication_id"] == reps["id"]).drop("id").withColumn("venue", F.when(F.col("journal_id").isNotNull(), F.struct(*venue))).drop(*venue)
+    fill = ["doi", "doi_raw", "year", "authors", "quality_rank", "sjr_quartile", "cited_by_count", "fwci", "oa_status", "venue"]
+    filled = dedup.fill_from_twins(near, ["representative"], "publication_id", fill).select("*", "venue.*").select(*rest)
+    alone = pubs.join(reps.select(F.col("id").alias("publication_id")), "publication_id", "left_anti").select(*rest)
+    return alone.unionByName(filled), reps.where("id <> representative").select(F.col("id").alias("publication_id"), F.lit("near duplicate").alias("reason"))
+
+
 def build(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """publications, journals, staff, harvest and audit of one run."""
     raw = clean(table(spark, d, "publications"))
@@ -59,6 +70,8 @@ def build(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     rated = rate(kept, table(spark, d, "journals"), table(spark, d, "journal_reference"))
     screened, out = screen(rated, ["open index", "discovery feed"])
     pubs = materialized(dedup.doi_first(screened, ["researcher_id", "title_key"], "doi", "publication_id"))
+    pubs, twins = drop_near_duplicates(pubs)
+    pubs = materialized(pubs)
     years = rollup.majority(pubs.where("doi is not null"), ["doi"], "year", "publication_id").select("doi", F.col("year").alias("doi_year"))
     pubs = pubs.join(years, "doi", "left").withColumn("year", F.coalesce("doi_year", "year")).drop("doi_year")
     used = table(spark, d, "journals").join(pubs.select("journal_id").where("journal_id is not null"), "journal_id", "left_semi").where(F.trim("journal_name") != "")
@@ -66,7 +79,7 @@ def build(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     staff = dedup.first_rows(table(spark, d, "researchers"), ["researcher_id"], [F.col("loaded_at"), F.coalesce("name", F.lit(""))]).join(pubs.select("researcher_id"), "researcher_id", "left_semi")
     university = staff.select("researcher_id", "university")
     harvest = pubs.join(university, "researcher_id").groupBy("university", "source").agg(F.count(F.lit(1)).alias("record_count"), F.max("year").alias("latest_year"))
-    return {"publications": pubs, "journals": dims, "staff": staff, "harvest": harvest, "audit": notices.unionByName(out)}
+    return {"publications": pubs, "journals": dims, "staff": staff, "harvest": harvest, "audit": notices.unionByName(out).unionByName(twins)}
 
 
 @R.query("pipeline_publications")

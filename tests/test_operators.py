@@ -184,6 +184,21 @@ def test_representatives_of_cliques_and_chains(spark):
         assert got == {i: i - i % 2 for i in range(52)} | {60: 48}
 
 
+def test_pipeline_drops_near_duplicates(spark):
+    from sheaf.plans import pipeline
+
+    base = "the layered effect of audit rotation on family firms"
+    data = [
+        (1, 1, base + "s", "10.1234/b", 2001, None, None), (2, 1, base, "10.1234/a", 2001, "A", 7), (3, 1, base, "10.1234/b", 2001, "B", 8), (4, 1, "something else entirely", None, 2001, None, None),
+    ]
+    df = spark.createDataFrame(data, "publication_id bigint, researcher_id bigint, title string, doi string, year int, quality_rank string, journal_id bigint")
+    for c, kind in (("doi_raw", "string"), ("authors", "string"), ("sjr_quartile", "string"), ("cited_by_count", "int"), ("fwci", "double"), ("oa_status", "string"), ("journal_name", "string"), ("impact_factor", "double"), ("match_method", "string")):
+        df = df.withColumn(c, F.lit(None).cast(kind))
+    kept, dropped = pipeline.drop_near_duplicates(df)
+    assert rows(kept, "publication_id", "doi", "quality_rank", "journal_id") == [(1, "10.1234/b", "B", 8), (2, "10.1234/a", "A", 7), (4, None, None, None)]
+    assert rows(dropped) == [(3, "near duplicate")]
+
+
 def test_screen_threshold(spark):
     data = [("low", "j", "A" if i == 0 else None) for i in range(5)] + [("edge", "j", "A" if i == 0 else None) for i in range(4)] + [("few", "j", None)] * 4 + [("none", None, None)] * 9
     df = spark.createDataFrame(data, "who string, j string, r string")
