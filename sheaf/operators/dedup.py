@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.identifiers import dedup_doi
 from sheaf.functions.similarity import ratio
-from sheaf.functions.text import clean_text, part_marker, title_key
+from sheaf.functions.text import clean_text, part_marker, prefix_of, title_key
 from sheaf.session import materialized
 
 #: Thresholds of similarity and of the screen.
@@ -59,7 +59,8 @@ def near_pairs(df: DataFrame, row_id: str, owner: str, title: str, year: str, do
     each two chunks meet in a block of their own, so no task holds a whole large owner. Markup and accents don't
     count; equal keys are left to exact deduplication, so copies don't multiply. Part markers that differ, years more
     than one apart and DOIs of which none is common rule a pair out before the ratio is taken; DOIs are normalised,
-    unusable ones and those of repositories are none. A title is one row, the first; with per_doi, one for each DOI.
+    unusable ones and those of repositories are none. Under a common DOI a title of PREFIX_WORDS words or more that
+    begins the other one (a lost subtitle) is near at any ratio; a part marker on one side only is no veto. A title is one row, the first; with per_doi, one for each DOI.
     """
     base = df.select(F.col(row_id).alias("id"), F.col(owner).alias("owner"), title_key(title).alias("k"), F.when(F.col(title).rlike("[<&]|[^\\x00-\\x7f]"), F.col(title)).alias("raw"), part_marker(title).alias("part"), F.col(year).alias("y"), dedup_doi(doi, REPOSITORY_PREFIX).alias("d"))
     base = base.where(F.col("owner").isNotNull() & F.col("k").isNotNull())
@@ -73,12 +74,15 @@ def near_pairs(df: DataFrame, row_id: str, owner: str, title: str, year: str, do
     b = placed.withColumn("other", F.explode(F.sequence(F.lit(0), "own"))).select("owner", F.col("other").alias("lo"), F.col("own").alias("hi"), *[F.col(c).alias(f"b_{c}") for c in facts])
     years = F.col("a_y1").isNull() | F.col("b_y1").isNull() | ((F.col("a_y1") <= F.col("b_y2") + YEARS_APART) & (F.col("b_y1") <= F.col("a_y2") + YEARS_APART))
     dois = (F.size("a_d") == 0) | (F.size("b_d") == 0) | F.arrays_overlap("a_d", "b_d")
+    parts = (F.col("a_part") == "") | (F.col("b_part") == "") | (F.col("a_part") == F.col("b_part"))
+    starts = lambda p, q: prefix_of(f"{p}c", f"{q}c") & (F.size(F.split(f"{p}c", " ")) >= PREFIX_WORDS)
+    cut = (starts("a_", "b_") | starts("b_", "a_")) & F.arrays_overlap("a_d", "b_d")
     once = (F.col("lo") < F.col("hi")) | (F.col("a_id") < F.col("b_id"))
-    near = a.join(b, ["owner", "lo", "hi"]).where(once & (F.col("a_k") != F.col("b_k")) & (F.col("a_part") == F.col("b_part")) & years & dois & _may_be_near("a_", "b_"))
+    near = a.join(b, ["owner", "lo", "hi"]).where(once & (F.col("a_k") != F.col("b_k")) & parts & years & dois & (cut | _may_be_near("a_", "b_"))).withColumn("cut", cut)
     swap = F.col("a_id") > F.col("b_id")
     first = lambda c: F.when(swap, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}"))
     second = lambda c: F.when(swap, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}"))
-    return near.select(first("id").alias("a"), second("id").alias("b"), first("c").alias("x"), second("c").alias("y")).mapInArrow(_ratios, "a bigint, b bigint, similarity double")
+    return near.select(first("id").alias("a"), second("id").alias("b"), first("c").alias("x"), second("c").alias("y"), "cut").mapInArrow(_ratios, "a bigint, b bigint, similarity double")
 
 
 #: Columns of a title's signature of 512 bits.
@@ -132,9 +136,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b, x, y = (c.to_pylist() for c in batch.columns)
-        score = [ratio(s, t, NEAR_TITLE) for s, t in zip(x, y)]
-        keep = [i for i, s in enumerate(score) if s >= NEAR_TITLE]
+        a, b, x, y, cut = (c.to_pylist() for c in batch.columns)
+        score = [ratio(s, t, 0.0 if c else NEAR_TITLE) for s, t, c in zip(x, y, cut)]
+        keep = [i for i, s in enumerate(score) if cut[i] or s >= NEAR_TITLE]
         yield pa.RecordBatch.from_arrays([pa.array([v[i] for i in keep], t) for v, t in ((a, pa.int64()), (b, pa.int64()), (score, pa.float64()))], ["a", "b", "similarity"])
 
 

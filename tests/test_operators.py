@@ -199,6 +199,16 @@ def test_pipeline_drops_near_duplicates(spark):
     assert rows(dropped) == [(3, "near duplicate")]
 
 
+def test_near_pairs_lost_subtitles_and_parts(spark):
+    base, sub = "elevating professional scepticism again", ": an exploratory study into the trade of many other firms"
+    data = [
+        (1, 1, base + sub, 2001, "10.1234/a"), (2, 1, base, 2001, "doi:10.1234/A"), (3, 2, base + sub, 2001, None), (4, 2, base, 2001, "10.1234/a"), (5, 3, "book review", 2001, "10.1234/a"), (6, 3, "book review" + sub, 2001, "10.1234/a"),
+        (7, 4, base + " in older firms part I", 2001, None), (8, 4, base + " in older firms", 2001, None), (9, 4, base + " in older firms part II", 2001, None),
+    ]
+    df = spark.createDataFrame(data, "id bigint, who int, title string, year int, doi string")
+    assert rows(dedup.near_pairs(df, "id", "who", "title", "year", "doi"), "a", "b") == [(1, 2), (7, 8), (8, 9)]
+
+
 def test_screen_threshold(spark):
     data = [("low", "j", "A" if i == 0 else None) for i in range(5)] + [("edge", "j", "A" if i == 0 else None) for i in range(4)] + [("few", "j", None)] * 4 + [("none", None, None)] * 9
     df = spark.createDataFrame(data, "who string, j string, r string")
