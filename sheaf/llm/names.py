@@ -73,13 +73,21 @@ _SIMPLE = _simple()
 _MARKS = re.compile("[\u0300-\u036f]")
 
 
+_BEYOND = re.compile("[^\x00-\x7f]+")
+
+
+@lru_cache(maxsize=200_000)
+def _plain(run: str) -> str:
+    return run.translate(_SIMPLE)
+
+
 def fold(text: str) -> str:
     """Lower case, Latin look-alikes, no accents, apostrophes or invisible characters."""
     if text.isascii():
         return text.lower().replace("'", "").replace("`", "")
-    s = text.translate(_SIMPLE)
+    s = _BEYOND.sub(lambda m: _plain(m.group()), text)
     if s.isascii():
-        return s.lower()
+        return s.lower().replace("'", "").replace("`", "")
     s = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).translate(_ALIKE).lower().translate(_LETTER)
     s = _MARKS.sub("", unicodedata.normalize("NFKD", s))
     return _QUOTES.sub("", _DASHES.sub("-", s))

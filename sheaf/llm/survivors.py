@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sheaf.llm import encoding, names
@@ -86,10 +85,10 @@ def _read_titles(counts: dict) -> object:
 
 
 def read_deliveries(papers: DataFrame, trust: DataFrame, counts: dict | None = None) -> DataFrame:
-    """id, owner, venue, year, rank, at, sig, and of the title and DOI: doi, words, main, cut, generic, usable.
+    """id, owner, venue, year, rank, at, and of the title and DOI: doi, words, main, cut, generic, usable.
 
     rank is the source's trust rank, null for sources that are null or not in the trust table; source names
-    are compared without case, blanks, hyphens and underscores.
+    are compared without case, blanks, hyphens and underscores. Rows without an id or an owner are left out.
     """
     plain = lambda c: F.lower(F.regexp_replace(c, r"[\s_\-]+", ""))
     ranks = trust.groupBy(plain(F.col("source")).alias("t_source")).agg(F.min("trust_rank").cast("int").alias("rank"))
@@ -99,42 +98,28 @@ def read_deliveries(papers: DataFrame, trust: DataFrame, counts: dict | None = N
     )
     shared = papers.sparkSession.sparkContext.broadcast(encoding.clean_counts(papers, "title") if counts is None else counts)
     schema = "id bigint, owner bigint, venue bigint, year int, rank int, at timestamp, doi string, words string, main string, cut boolean, generic boolean, usable boolean"
-    return slim.mapInArrow(_read_titles(shared), schema).withColumn("sig", _signature_key())
+    return slim.mapInArrow(_read_titles(shared), schema)
 
 
-def _signature_key() -> Column:
-    """What makes two deliveries alike: without a DOI also the year, and for generic or missing titles nothing does."""
-    alone = F.col("generic") | (F.col("words") == "")
-    own = F.when(F.col("doi").isNull(), F.when(alone, F.concat(F.lit("#"), F.col("id").cast("string"))).otherwise(F.coalesce(F.col("year").cast("string"), F.lit(""))))
-    return _key("owner", "doi", "words", "cut", own)
+def components(edges: DataFrame, max_rounds: int = 1000, hub: Sequence[str] = ("hub",)) -> DataFrame:
+    """(node, label): the smallest node reachable from each node of edges (node, *hub), hubs being shared keys.
 
-
-def _key(*cols: Column | str) -> Column:
-    """Sixteen bytes that stand for the values of several columns."""
-    return F.unhex(F.md5(F.concat_ws("\u0001", *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in cols])))
-
-
-def _shared(df: DataFrame, key: str, *more: Column) -> DataFrame:
-    """Rows of keys that several nodes have; by a window, so one exchange does for the count and the rows (it spills, if need be)."""
-    w = W.partitionBy(key)
-    return df.select("*", F.min("node").over(w).alias("_lo"), F.max("node").over(w).alias("_hi"), *[m.over(w).alias(f"_m{i}") for i, m in enumerate(more)]).where("_lo < _hi").drop("_lo", "_hi")
-
-
-def components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(node, label): the smallest node reachable from each node of edges (node, hub), hubs being shared keys.
-
-    Labels and hubs exchange minima until nothing changes, unfinished labels are an error; nodes of hubs that nobody shares are left out.
+    Labels and hubs exchange minima until nothing changes, unfinished labels are an error; nodes of hubs that nobody
+    shares are left out. Every step is a combinable minimum or a join that AQE may split, so a hub may be of any size.
     """
-    edges = materialized(_shared(edges, "hub").select("node", "hub").distinct())
-    labels = edges.groupBy("node").agg(F.min("node").alias("label"))
-    for _ in range(max_rounds):
-        hubs = edges.join(labels, "node").groupBy("hub").agg(F.min("label").alias("low"))
-        new = edges.join(hubs, "hub").groupBy("node").agg(F.min("low").alias("label"))
-        new = materialized(new.join(labels.withColumnRenamed("label", "old"), "node"))
-        moved = new.where("label <> old").limit(1).count()
-        labels = new.select("node", "label")
-        if not moved:
-            return labels
+    hub = list(hub)
+    shared = edges.groupBy(*hub).agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo < _hi").select(*hub)
+    state = materialized(edges.select("node", *hub).join(shared, hub, "left_semi").distinct().withColumn("label", F.col("node")))
+    for done in range(max_rounds):
+        low = state.groupBy(*hub).agg(F.min("label").alias("low"))
+        best = state.join(low, hub).groupBy("node").agg(F.min("low").alias("new"))
+        if done >= 4:
+            best = materialized(best)
+            best = best.join(best.select(F.col("node").alias("new"), F.col("new").alias("far")), "new", "left").select("node", F.coalesce("far", "new").alias("new"))
+        seen = Observation()
+        state = materialized(state.join(best, "node").observe(seen, F.count_if(F.col("new") < F.col("label")).alias("moved")).select("node", *hub, F.col("new").alias("label")))
+        if not seen.get["moved"]:
+            return state.select("node", "label").distinct()
     raise RuntimeError(f"components: labels still change after {max_rounds} rounds")
 
 
@@ -164,102 +149,103 @@ def differs_by_typing(x: str, y: str) -> bool:
 def group_deliveries(rows: DataFrame) -> DataFrame:
     """The rows of read_deliveries with group_id: the deliveries of one paper of one owner share the smallest id.
 
-    Equal deliveries are first merged into signatures (owner, DOI, words, cut; without a DOI also the year), each
-    with its range of years and of venues, so that copies cost nothing later. Signatures with the same DOI, or the same whole title and
-    years at most one apart, are one paper; cut titles, titles without their subtitle and titles with typing
-    errors join the one paper they fit, with fitting year and venue. Generic titles go by DOI alone.
-    """
-    return rows.join(_papers(rows).select("sig", "group_id"), "sig")
-
-
-def _papers(rows: DataFrame) -> DataFrame:
-    """(sig, group_id, n): each signature's paper and its number of rows."""
-    doi = F.when(F.col("doi").isNull(), 0).when(F.col("doi").contains("/repo"), 1).otherwise(2)
-    nodes = materialized(
-        rows.groupBy("sig").agg(
-            *[F.any_value(c).alias(c) for c in ("owner", "doi", "words", "main", "cut", "generic")], F.min("id").alias("node"), F.count(F.lit(1)).alias("n"),
-            F.min("year").alias("y1"), F.max("year").alias("y2"), F.min("venue").alias("v1"), F.max("venue").alias("v2"),
-        ).withColumn("d", doi)
-    )
-    by_doi = nodes.where("doi is not null").select("node", _key(F.lit("D"), "owner", "doi").alias("hub"))
-    titled = nodes.where("words <> '' and not generic")
-    by_title = _year_runs(titled.select("node", "y1", "y2", _key(F.lit("T"), "owner", "words", "cut", F.when(F.col("cut"), F.col("v1"))).alias("key")))
-    first = components(by_doi.unionByName(by_title))
-    second = _joined(materialized(_soft_links(titled, first))).select(F.col("node").alias("label"), F.col("label").alias("final"))
-    labelled = nodes.select("sig", "n", "node").join(first, "node", "left").select("sig", "n", F.coalesce("label", "node").alias("label"))
-    return labelled.join(second, "label", "left").select("sig", "n", F.coalesce("final", "label").alias("group_id"))
-
-
-def _year_runs(titled: DataFrame) -> DataFrame:
-    """(node, hub): nodes of one title key, split where the years leave a gap of two or more; nodes without a year join all.
-
-    Only keys that several nodes have are looked at further.
+    Deliveries with the same DOI, or the same whole title and years at most one apart, are one paper; cut titles
+    (with the same venue), titles without their subtitle and titles with typing errors join the one paper they fit,
+    with fitting year and venue. Generic titles go by DOI alone. Where the years of one title leave a gap of two or
+    more, each run of years is a paper, and deliveries without a year are one of their own.
     """
-    t = _shared(titled, "key", F.min("y1"), F.max("y2")).withColumnsRenamed({"_m0": "a", "_m1": "b"})
-    loose = t.where("y1 is null or a is null or b - a <= 1 or y2 - y1 > 50").select("node", F.col("key").alias("hub"))
-    dated = t.where("y1 is not null and b - a > 1 and y2 - y1 <= 50").select("node", F.explode(F.sequence(F.col("y1") - 1, F.col("y2"))).alias("y"), "key")
-    return loose.unionByName(dated.select("node", _key("key", "y").alias("hub")))
+    marked = _marked(rows)
+    papers = _papers(rows, marked)
+    return rows.join(marked.join(papers, "node", "left").select("id", F.coalesce("group_id", "node").alias("group_id")), "id")
+
 
+def _marked(rows: DataFrame) -> DataFrame:
+    """The rows as numbers, with their node: the smallest id of the same title where its years leave no gap, else the row's own.
 
-def _soft_links(titled: DataFrame, first: DataFrame) -> DataFrame:
+    told: the title tells something; real: the DOI is a publisher's; gap: the row's title is of several runs of years.
+    Titles stand as hashes beside their owner, so that only titles of one owner could be mistaken for each other.
+    """
+    told = (F.col("words") != "") & ~F.col("generic")
+    title = F.when(told, F.xxhash64("words", "cut", F.when(F.col("cut"), F.col("venue")))).otherwise(F.xxhash64(F.lit("alone"), "id"))
+    doi, real = F.when(F.col("doi").isNotNull(), F.xxhash64("doi")), F.col("doi").isNotNull() & ~F.col("doi").contains("/repo")
+    keyed = rows.select("id", "owner", title.alias("title"), "year", "venue", F.xxhash64("words").alias("text"), "cut", told.alias("told"), doi.alias("doi"), real.alias("real"), "usable", "rank", "at")
+    first = keyed.groupBy("title", "owner").agg(F.min("id").alias("first"), F.coalesce(F.max("year") - F.min("year") > 1, F.lit(False)).alias("gap"))
+    got = keyed.join(first, ["title", "owner"])  # hashes come first in keys: they sort by their prefix alone
+    return materialized(got.select("id", "owner", F.when(F.col("gap"), F.col("id")).otherwise(F.col("first")).alias("node"), "title", "gap", "year", "venue", "text", "cut", "told", "doi", "real", "usable", "rank", "at"))
+
+
+def _papers(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """(node, group_id) of the nodes that aren't alone in their paper or not its smallest."""
+    hub = lambda kind, *cols: F.xxhash64(F.lit(kind), *cols).alias("hub")
+    by_doi = marked.where("doi is not null").select("node", "owner", hub("D", "doi"))
+    apart = marked.where("gap and told").select("node", "owner", "title", F.explode(F.when(F.col("year").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.array(F.col("year") - 1, F.col("year")))).alias("y"))
+    first = materialized(components(by_doi.unionByName(apart.select("node", "owner", hub("T", "title", "y"))), hub=("hub", "owner")))
+    links = materialized(_soft_links(rows, marked, first))
+    second = materialized(_joined(links)).select(F.col("node").alias("label"), F.col("label").alias("final"))
+    again = first.join(second, "label", "left").select("node", F.coalesce("final", "label").alias("group_id"))
+    return again.unionByName(second.select(F.col("label").alias("node"), F.col("final").alias("group_id")).join(first, "node", "left_anti"))
+
+
+def _soft_links(rows: DataFrame, marked: DataFrame, first: DataFrame) -> DataFrame:
     """(a, b): labels to be joined; a is a cut, shortened or mistyped title that fits exactly one paper b.
 
-    titled: signatures with a title that tells something; first: (node, label) of those joined so far. Candidates
-    meet in blocks, hashes of an owner and some words, that carry nothing but the node; blocks in which nothing
-    can meet go first, and numbers and words are fetched for the candidates that are left.
+    marked: see _marked; first: (node, label) of those joined so far. One table holds each paper's different titles
+    with their ranges of years and venues. Titles meet by hashes that stand for what must be equal: the whole beginning
+    (cut titles), all words but the subtitle, one half of the words, or two neighbouring words (titles with lost letters).
     """
-    words = F.split("words", " ")
-    n = F.size(words)
-    part = lambda s, e: F.array_join(F.slice(words, s, e), " ")
-    block = lambda kind, text: F.xxhash64(F.lit(kind), "owner", text)
-    half = F.floor(n / 2)
-    whole, cut = titled.where("not cut"), titled.where("cut")
-    # cut titles are the beginning of a whole one; those whose paper has a whole one already need no other
-    settled = cut.join(first, "node").select("node", "label").join(whole.join(first, "node").select("label").distinct(), "label", "left_semi").select("node")
-    open_cut = cut.join(settled, "node", "left_anti").select("node", block("cut", F.when(n > 6, part(1, 6)).when(n > 3, part(1, 3)).otherwise(part(1, 1))).alias("block"), F.lit(1).alias("role"), F.lit("cut").alias("kind"))
-    open_cut = materialized(open_cut)
-    begins = F.array_compact(F.array(F.when(n > 6, block("cut", part(1, 6))), F.when(n > 3, block("cut", part(1, 3))), block("cut", part(1, 1))))
-    begun = whole.select("node", F.explode(begins).alias("block")).join(open_cut.select("block").distinct(), "block", "left_semi").select("node", "block", F.lit(2).alias("role"), F.lit("cut").alias("kind"))
-    # a title that is another one's without the subtitle; typing errors: one half of the words is untouched
-    entry = lambda kind, role, text: F.struct(block(kind, text).alias("block"), F.lit(role).alias("role"), F.lit(kind).alias("kind"))
-    entries = F.array_compact(
-        F.array(
-            F.when(F.col("main") == "", entry("main", 1, F.col("words"))).otherwise(entry("main", 2, F.col("main"))),
-            F.when(n >= 4, entry("half", 3, F.concat(F.lit("1 "), n.cast("string"), F.lit(" "), part(1, half)))),
-            F.when(n >= 4, entry("half", 3, F.concat(F.lit("2 "), n.cast("string"), F.lit(" "), part(half + 1, n)))),
-        )
-    )
-    others = whole.select("node", F.explode(entries).alias("k")).select("node", "k.block", "k.role", "k.kind")
-    # lost letters anywhere: two neighbouring words are untouched; only owners of such titles take part
-    lost = whole.where(F.col("words").contains("�") & (n >= 3))
-    two = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array_join(F.slice(words, i, 2), " ")))).alias("t")
-    mates = whole.where(n >= 3).join(lost.select("owner").distinct(), "owner", "left_semi")
-    sides = [x.select("node", "owner", two, n.alias("n")).where(~F.col("t").contains("�")).select("node", F.xxhash64(F.lit("lost"), "owner", "t", "n").alias("block"), F.lit(r).alias("role"), F.lit("lost").alias("kind")) for x, r in ((lost, 1), (mates, 2))]
-    keyed = _shared(reduce(DataFrame.unionByName, [open_cut, begun, others, *sides]), "block", F.min("role"), F.max("role")).where("_m0 < _m1 or _m0 = 3").drop("_m0", "_m1")
-    numbers = ["owner", "y1", "y2", "v1", "v2", "d"]
-    facts = titled.select("node", *numbers).join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    keyed = materialized(keyed.join(facts, "node"))
-    a = keyed.where("role in (1, 3)").select("block", *[F.col(c).alias(f"a_{c}") for c in ("node", "kind", "label", *numbers)])
-    b = keyed.where("role in (2, 3)").select("block", *[F.col(c).alias(f"b_{c}") for c in ("node", "kind", "label", *numbers)])
+    labelled = marked.where("told").join(first, "node", "left").select("id", "owner", F.coalesce("label", "node").alias("label"), "text", "cut", "real", "year", "venue")
+    ranges = [F.min("year").alias("y1"), F.max("year").alias("y2"), F.min("venue").alias("v1"), F.max("venue").alias("v2")]
+    titles = labelled.groupBy("owner", "label", "text", "cut", "real").agg(F.min("id").alias("id"), *ranges).drop("text")
+    titles = materialized(titles.join(rows.select("id", "words", "main"), "id").withColumn("n", F.length("words") - F.length(F.replace("words", F.lit(" "))) + 1))
+    whole = titles.where("not cut")
+    facts = ("id", "label", "real", "y1", "y2", "v1", "v2")
+    side = lambda df, name, *keys: df.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in facts])
     years = F.col("a_y1").isNull() | F.col("b_y1").isNull() | ((F.col("a_y1") <= F.col("b_y2") + 1) & (F.col("b_y1") <= F.col("a_y2") + 1))
     venues = F.col("a_v1").isNull() | F.col("b_v1").isNull() | ((F.col("a_v1") <= F.col("b_v2")) & (F.col("b_v1") <= F.col("a_v2")))
-    fits = (F.col("a_owner") == F.col("b_owner")) & (F.col("a_kind") == F.col("b_kind")) & (F.col("a_label") != F.col("b_label")) & years & venues & ((F.col("a_d") < 2) | (F.col("b_d") < 2))
-    fits = fits & ((F.col("a_kind") != "half") | (F.col("a_label") < F.col("b_label")))
-    near = a.join(b, "block").where(fits).select("a_node", "a_label", "b_node", "b_label", F.col("a_kind").alias("kind")).distinct()
-    text = lambda side: titled.select(F.col("node").alias(f"{side}_node"), F.col("words").alias(f"{side}_words"), F.col("main").alias(f"{side}_main"))
-    near = materialized(near.join(text("a"), "a_node").join(text("b"), "b_node"))
-    alike = near.where("kind in ('half', 'lost')").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"), F.col("a_words").alias("x"), F.col("b_words").alias("y")).distinct()
+    fits = (F.col("a_label") != F.col("b_label")) & years & venues & ~(F.col("a_real") & F.col("b_real"))
+
+    def meet(kind: str, a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+        return side(a, "a", *keys).join(side(b, "b", *keys), list(keys)).where(fits).select(F.lit(kind).alias("kind"), "a_id", "a_label", "b_id", "b_label")
+
+    # cut titles are the beginning of a whole one, of the same length; those whose paper has a whole one already need no other
+    cut = titles.where("cut")
+    cut = materialized(cut.join(whole.join(cut.select("label").distinct(), "label", "left_semi").select("label").distinct(), "label", "left_anti").withColumn("k", F.length("words")))
+    lengths = materialized(cut.select("owner", "k").distinct())
+    begins = whole.join(lengths, "owner").where(F.length("words") > F.col("k")).withColumn("block", F.xxhash64(F.substr("words", F.lit(1), F.col("k"))))
+    near = [meet("cut", cut.withColumn("block", F.xxhash64("words")), begins, "block", "owner", "k")]
+    # a title that is another one's without the subtitle; typing errors leave one half of the words as it is
+    main = F.xxhash64(F.lit("main"), F.when(F.col("main") == "", F.col("words")).otherwise(F.col("main")))
+    half = (F.col("n") / 2).cast("int")
+    words_of = lambda count: F.call_function("substring_index", F.col("words"), F.lit(" "), count)
+    halves = [F.xxhash64(F.lit("1"), "n", words_of(half)), F.xxhash64(F.lit("2"), "n", words_of(half - F.col("n")))]
+    entry = lambda keep, is_half, block: F.when(keep, F.struct(block.alias("block"), F.lit(is_half).alias("half")))
+    long = F.col("n") >= 4
+    asking = F.array(entry(F.col("main") == "", False, main), *[entry(long & ~F.col("real"), True, h) for h in halves])
+    asked = F.array(entry(F.col("main") != "", False, main), *[entry(long, True, h) for h in halves])
+    blocks = lambda e: whole.withColumn("e", F.explode(F.array_compact(e))).withColumns({"block": F.col("e.block"), "half": F.col("e.half")})
+    once = ~F.col("half") | F.col("b_real") | (F.col("a_label") < F.col("b_label"))
+    pairs = side(blocks(asking), "a", "block", "owner", "half").join(side(blocks(asked), "b", "block", "owner", "half"), ["block", "owner", "half"]).where(fits & once)
+    near.append(pairs.select(F.when(F.col("half"), "half").otherwise("main").alias("kind"), "a_id", "a_label", "b_id", "b_label"))
+    # lost letters anywhere: two neighbouring words are untouched
+    damaged = materialized(whole.where(F.col("words").contains("�") & (F.col("n") >= 3)))
+    mates = whole.join(damaged.select("owner", "n").distinct(), ["owner", "n"], "left_semi")
+    two = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("n") - 2), lambda i: F.array_join(F.slice(F.split("words", " "), i + 1, 2), " "))))
+    paired = lambda df: df.withColumn("two", two).where(~F.col("two").contains("�")).withColumn("block", F.xxhash64("n", "two"))
+    near.append(meet("lost", paired(damaged), paired(mates), "block", "owner").distinct())
+    near = materialized(reduce(DataFrame.unionByName, near))
+    text = lambda s: titles.select(F.col("id").alias(f"{s}_id"), F.col("words").alias(f"{s}_words"))
+    alike = near.where("kind in ('half', 'lost')").join(text("a"), "a_id").join(text("b"), "b_id").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"), F.col("a_words").alias("x"), F.col("b_words").alias("y")).distinct()
     typed = materialized(alike.mapInArrow(_typing_errors, "a bigint, b bigint").distinct())
     same = _joined(typed).select(F.col("node").alias("b_label"), F.col("label").alias("b_same"))  # spellings of one paper count once
-    clear = near.where("(kind = 'cut' and startswith(b_words, a_words)) or (kind = 'main' and b_main = a_words)").join(same, "b_label", "left").withColumn("b", F.coalesce("b_same", "b_label"))
+    clear = near.where("kind in ('cut', 'main')").join(same, "b_label", "left").withColumn("b", F.coalesce("b_same", "b_label"))
     one = clear.groupBy("kind", "a_label").agg(F.min("b").alias("b"), F.max("b").alias("hi")).where("b = hi").select(F.col("a_label").alias("a"), "b")
     return one.unionByName(typed).distinct()
 
 
 def _joined(pairs: DataFrame) -> DataFrame:
     """(node, label) of the nodes that pairs (a, b) connect."""
-    hub = _key(F.lit("S"), "a", "b").alias("hub")
-    return components(pairs.select(F.col("a").alias("node"), hub).unionByName(pairs.select(F.col("b").alias("node"), hub)))
+    ends = [pairs.select(F.col(c).alias("node"), F.col("a").alias("lo"), F.col("b").alias("hi")) for c in ("a", "b")]
+    return components(ends[0].unionByName(ends[1]), hub=("lo", "hi"))
 
 
 def survivors(rows: DataFrame) -> DataFrame:
@@ -267,16 +253,15 @@ def survivors(rows: DataFrame) -> DataFrame:
 
     rows as of read_deliveries. One aggregation takes, for each field, the maximum of (usable, trust, load time,
     smallest id): among the usable values the most trusted source's, then the latest, then the smallest id's.
-    Groups without a usable value of a field have no row for it. Signatures of single rows stay out of the join.
+    Groups without a usable value of a field have no row for it.
     """
-    papers = _papers(rows)
-    several = papers.groupBy("group_id").agg(F.sum("n").alias("n")).where("n > 1").select("group_id")
-    grouped = rows.select("id", "sig", "rank", "at", F.col("doi").isNotNull().alias("has_doi"), "usable").join(papers.join(several, "group_id").select("sig", "group_id"), "sig")
+    marked = _marked(rows)
+    grouped = marked.join(_papers(rows, marked), "node", "left").withColumn("group_id", F.coalesce("group_id", "node"))
     order = [(-F.coalesce("rank", F.lit(2**31 - 1)).cast("bigint")).alias("trust"), F.col("at"), (-F.col("id")).alias("key")]
 
     def best(usable: Column) -> Column:
         return F.max(F.when(usable, F.struct(*order)))
 
-    got = grouped.groupBy("group_id").agg(best(F.lit(True)).alias("source"), best(F.col("has_doi")).alias("doi"), best(F.col("usable")).alias("title"))
+    got = grouped.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), best(F.lit(True)).alias("source"), best(F.col("doi").isNotNull()).alias("doi"), best(F.col("usable")).alias("title")).where("n > 1")
     fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), (-F.col(f"{f}.key")).alias("id")) for f in ("source", "doi", "title")]))
     return got.select("group_id", fields.alias("f")).select("group_id", "f.field_name", "f.id").where("id is not null")
