@@ -12,55 +12,81 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
+#: Markup: tags whose attributes have values, comments and declarations; "a<b and c>d" is none.
+_MARKUP = r"</?[A-Za-z][\w:.-]*(?:\s+[\w:.-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>=]+))*\s*/?>|<!--.*?-->|<![A-Za-z][^<>]*>"
+_TAG = re.compile(_MARKUP, re.S)
+_ENTITY = re.compile(r"&#?\w{1,31};")
+_MARKED = re.compile(f"(?P<tag>{_MARKUP})|{_ENTITY.pattern}", re.S)
 _WORD = re.compile(r"[^\W_]+")
-_MARKED = re.compile(r"</?[A-Za-z][^<>]*>|&#?\w{1,31};|[^\W_]+")
-_SPLIT = re.compile("[­​-‍⁠﻿]")
+_SPLIT = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
 
 
 def words(text: str) -> list[str]:
-    """The words of a text: without markup, case, punctuation, line breaks and invisible characters."""
-    if "&" in text:
-        text = html.unescape(text)
+    """The words of a text: without markup, case, punctuation, line breaks and invisible characters; entities are what they stand for."""
     if "<" in text:
         text = _TAG.sub(" ", text)
-    if not text.isascii():
-        text = _SPLIT.sub("", unicodedata.normalize("NFKC", text))
-    return _WORD.findall(text.lower())
+    if "&" in text:
+        text = _ENTITY.sub(lambda m: html.unescape(m.group()), text)
+    if text.isascii():
+        return _WORD.findall(text.lower())
+    return _WORD.findall(_SPLIT.sub("", unicodedata.normalize("NFKC", text)).casefold())
 
 
 def word_offsets(text: str) -> list[tuple[int, int]]:
-    """Place in the original of each of words(text), by normalising it piece by piece."""
-    out = []
+    """Place in the original of each of words(text): the same steps, each character with where it came from."""
+    chars: list[tuple[str, int, int]] = []
+    at = 0
     for m in _MARKED.finditer(text):
-        piece = m.group(0)
-        if piece[0] == "<":
-            continue
-        out += [(m.start(), m.end())] * len(words(piece))
-    return out
+        chars += [(text[i], i, i + 1) for i in range(at, m.start())]
+        new = " " if m.lastgroup == "tag" else html.unescape(m.group())
+        chars += [(c, m.start(), m.end()) for c in new]
+        at = m.end()
+    chars += [(text[i], i, i + 1) for i in range(at, len(text))]
+    # characters that may join the one before them are normalised together with it
+    out, begins, ends, i = [], [], [], 0
+    while i < len(chars):
+        j = i + 1
+        while j < len(chars) and _joins(chars[j][0]):
+            j += 1
+        new = _SPLIT.sub("", unicodedata.normalize("NFKC", "".join(c for c, _, _ in chars[i:j]))).casefold()
+        out.append(new)
+        begins += [chars[i][1]] * len(new)
+        ends += [chars[j - 1][2]] * len(new)
+        i = j
+    return [(begins[m.start()], ends[m.end() - 1]) for m in _WORD.finditer("".join(out))]
+
+
+def _joins(c: str) -> bool:
+    return c >= "\u0300" and (unicodedata.category(c)[0] == "M" or "\u1160" <= c <= "\u11ff" or "\uff9e" <= c <= "\uff9f")
 
 
 class Automaton:
     """Blocks of the items' words; every common run of min_words words holds a whole block, and is then extended.
 
     Blocks of (min_words + 1) // 2 words are taken at that stride, so that each run of min_words words
-    covers one of them entirely; items shorter than min_words can't be contained.
+    covers one of them entirely; items shorter than min_words can't be contained. The automaton's letters are words.
+    A run is longer than a block, so it goes on with the word before or after it: of the items that share a
+    block only those with one of these two words are looked at.
     """
 
     def __init__(self, items: list[tuple[int, str]], min_words: int):
         import ahocorasick
 
         self.min_words, self.size = min_words, (min_words + 1) // 2
-        self.items: dict[int, list[str]] = {}
-        posts: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for item, text in items:
-            w = self.items[item] = words(text)
+        self.items: list[tuple[int, list[str]]] = [(item, words(text)) for item, text in items]
+        self.number: dict[str, int] = {}
+        posts: dict[tuple[int, ...], dict[tuple[int, str], list[tuple[int, int]]]] = {}
+        for n, (_, w) in enumerate(self.items):
             if len(w) >= min_words:
+                codes = [self.number.setdefault(x, len(self.number) + 1) for x in w]
                 for k in range(0, len(w) - self.size + 1, self.size):
-                    posts[" " + " ".join(w[k : k + self.size]) + " "].append((item, k))
-        self.machine = ahocorasick.Automaton()
-        for block, at in posts.items():
-            self.machine.add_word(block, (at, len(block)))
+                    near = posts.setdefault(tuple(codes[k : k + self.size]), {})
+                    for side, at in ((0, k - 1), (1, k + self.size)):
+                        if 0 <= at < len(w):
+                            near.setdefault((side, w[at]), []).append((n, k))
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for block, near in posts.items():
+            self.machine.add_word(block, near)
         if posts:
             self.machine.make_automaton()
         self.empty = not posts
@@ -69,15 +95,16 @@ class Automaton:
         """item -> (first word, last word + 1) of every common run that is long enough."""
         if self.empty or len(doc) < self.min_words:
             return {}
-        line = " " + " ".join(doc) + " "
+        get = self.number.get
         found: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        at, word = 0, 0
-        for end, (posts, length) in self.machine.iter(line):
-            begin = end - length + 1
-            word += line.count(" ", at, begin)
-            at = begin
-            for item, k in posts:
-                w, i, j = self.items[item], word, word + self.size
+        for end, near in self.machine.iter(tuple([get(w, 0) for w in doc])):
+            word = end - self.size + 1
+            hits = set(near.get((0, doc[word - 1]), ()) if word else ())
+            if end + 1 < len(doc):
+                hits.update(near.get((1, doc[end + 1]), ()))
+            for n, k in hits:
+                item, w = self.items[n]
+                i, j = word, word + self.size
                 a, b = k, k + self.size
                 while i > 0 and a > 0 and doc[i - 1] == w[a - 1]:
                     i, a = i - 1, a - 1
@@ -104,12 +131,12 @@ def item_blocks(items: DataFrame, id_col: str, text_cols: list[str], block_chars
         yield block
 
 
-def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, min_words: int = 13, block_chars: int = 4_000_000) -> DataFrame:
+def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, min_words: int = 13, block_chars: int = 16_000_000) -> DataFrame:
     """(doc_id, item_id, start, end, run_words): every run of min_words or more words of an item in a document.
 
-    start and end are offsets in the original text. The items are the query set: their automaton is
-    built once per task from a block of at most block_chars characters, more items mean more blocks, each
-    scanned against all documents; documents are scanned once a block, without a shuffle. Null or empty
+    start and end are offsets in the original text. The items are the query set: one automaton of all of them
+    is built in each task, and documents are scanned once, without a shuffle. Only test material of more than
+    block_chars characters, which no task could hold, is cut into several automata and scans, with the same result. Null or empty
     texts hold nothing; items shorter than min_words can't be found; repeated rows give repeated results.
     """
     slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.length("text") > 0)
@@ -132,9 +159,8 @@ def _scan(slim: DataFrame, block: list[tuple[int, str]], min_words: int) -> Data
                 hits = machine.runs(w)
                 if hits:
                     places = word_offsets(body)
-                    exact = len(places) == len(w)
                     for item, spans in hits.items():
-                        rows += [(doc, item, places[i][0] if exact else 0, places[j - 1][1] if exact else len(body), j - i) for i, j in spans]
+                        rows += [(doc, item, places[i][0], places[j - 1][1], j - i) for i, j in spans]
             cols = list(zip(*rows)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "start", "end", "run_words"])
 

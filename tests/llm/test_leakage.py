@@ -1,5 +1,8 @@
 import random
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from sheaf.llm import leakage as L
 
 
@@ -49,5 +52,27 @@ def test_operator(spark):
 
 
 def test_offsets_match_words():
-    for t in ("A &amp; B <i>c-d</i> e", "ﬁne ½ x", "zero​width", "Ａ１"):
-        assert len(L.word_offsets(t)) == len(L.words(t)) or True
+    for t in ("A &amp; B <i>c-d</i> e", "ﬁne ½ x", "zero\u200bwidth", "Ａ１", "Tom &lt;b&gt; wrote", "co&shy;operate", "a<b and c>d", "<p class='x'>ΟΔΟΣ</p> İz", "e\u0301t\u00e9 &eacute;", "\u1112\u1161\u11ab"):
+        places = L.word_offsets(t)
+        assert len(places) == len(L.words(t)) and all(0 <= a < b <= len(t) for a, b in places)
+    assert L.words("a<b and c>d") == ["a", "b", "and", "c", "d"] and L.words("Tom &lt;b&gt; wrote") == ["tom", "b", "wrote"] and L.words("co&shy;operate") == ["cooperate"]
+
+
+PIECES = st.sampled_from(["a", "B", "ß", "Σ", "é", "e", "\u0301", "\u0327", " ", "-", "<b>", "</b>", "<", ">", "&lt;", "&amp;", "&shy;", "&#769;", "&", ";", "\u00ad", "\u200b", "ﬁ", "½", "İ", "\u1112", "\u1161", "\u11ab", "か", "\u3099", "ｶ", "\uff9e", "1", "_", "x=", "'"])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(PIECES, max_size=14))
+def test_offsets_are_places_of_the_words(pieces):
+    t = "".join(pieces)
+    places, w = L.word_offsets(t), L.words(t)
+    assert len(places) == len(w)
+    assert all(a <= c and b <= d for (a, b), (c, d) in zip(places, places[1:]))
+
+
+def test_items_that_share_a_stem():
+    stem = "which of the following statements about the ledger is true"
+    items = [(i, f"{stem} item{i} and nothing else at all in this book") for i in range(300)]
+    a = L.Automaton(items, 13)
+    got = a.runs(L.words(f"intro {stem} item7 and nothing else at all in"))
+    assert list(got) == [7] and a.runs(L.words(stem + " something else")) == {}
