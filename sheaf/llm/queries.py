@@ -146,10 +146,10 @@ def p9_spans(spark: SparkSession, d: str) -> DataFrame:
 # 10: reading level
 
 
-def _levels(spark: SparkSession, d: str) -> DataFrame:
+def _levels(spark: SparkSession, d: str, operator=reading.reading_levels) -> DataFrame:
     docs = table(spark, d, "documents")
     fitted = reading.train(docs, "doc_id", "text", table(spark, d, "reading_labels"), "doc_id", "band")
-    return reading.reading_levels(docs, "doc_id", "text", fitted)
+    return operator(docs, "doc_id", "text", fitted)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -161,7 +161,12 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
     return _levels(spark, d).groupBy("band").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("words").alias("words"), F.round(F.avg("surprisal"), 4).alias("surprisal"))
 
 
+def p10_left_out(spark: SparkSession, d: str) -> DataFrame:
+    """Documents without a level by the reason why."""
+    return _levels(spark, d, reading.judged).where("left_out is not null").groupBy("left_out").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_people, p2_found, p2_restored, p3_found, p3_unmatched, p4_found, p6_found, p6_forms, p8_containers, p8_fill, p9_found, p9_spans, p10_found, p10_profile)
+    for f in (p1_found, p1_people, p2_found, p2_restored, p3_found, p3_unmatched, p4_found, p6_found, p6_forms, p8_containers, p8_fill, p9_found, p9_spans, p10_found, p10_profile, p10_left_out)
 }

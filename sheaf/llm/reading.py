@@ -2,9 +2,9 @@
 
 Training (on the driver, from a bounded, documented sample of labelled documents): interpolated trigram
 models, one per band, with weights fitted by EM on held-out documents. Every document is then read whole:
-the surprisal of each word under each model gives, sentence by sentence, how likely each band's model is
-to have produced it; the distribution over the document's sentences, weighted by their words, gives one
-difficulty score, which isotonic regression maps monotonically to the graded bands.
+each sentence's surprisal under each model says how much of it falls to each band, and the distribution over
+all of the document's words has its median as difficulty. Isotonic regression maps it monotonically to the
+graded bands; it is fitted on difficulties that each labelled document got from models of the other folds.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _DECIMAL = re.compile(r"(?<=\d)[.,](?=\d)")
@@ -60,69 +61,102 @@ class _Vocabulary(dict):
         return NUMBER if t[0].isdigit() else UNKNOWN
 
 
-class Bands:
-    """Interpolated trigram models of the bands over one vocabulary; arrays only, so it ships as it is."""
+class Corpus:
+    """The labelled documents as numbers: a vocabulary, and each n-gram's and context's place in its sorted table.
+
+    Built once; the models of all folds and labels are counts over it.
+    """
 
-    def __init__(self, docs: list[list[str]], bands: np.ndarray, levels: np.ndarray):
-        self.levels = levels
+    def __init__(self, docs: list[list[str]]):
         words = sorted({t for d in docs for t in d if t[0].isalpha()} | FUNCTION_WORDS | OTHER_WORDS)
         self.vocab = _Vocabulary({w: i for i, w in enumerate(words, 3)} | {".": END})
         self.size = np.int64(len(words) + 3)
         self.kind = np.zeros(self.size, np.int8)
         self.kind[[self.vocab[w] for w in OTHER_WORDS]] = 2
         self.kind[[self.vocab[w] for w in FUNCTION_WORDS]] = 1
-        flat, cut = self.encode(docs)
-        keys = self._keys(flat)
+        self.docs = len(docs)
+        flat, cut = encode(self.vocab, docs)
         live = flat != END
-        doc_of = np.repeat(np.arange(len(docs)), np.diff(cut))
-        self.grams: list[tuple[np.ndarray, np.ndarray]] = []
-        held = doc_of % 5 == 0
-        k = len(levels)
-        band_of = bands[doc_of]
-        self.weights = np.full((k, 4), 0.25)
-        for use in (~held, np.ones_like(held)):  # weights on held-out documents, then counts of all
-            self.grams = [self._count(key[use & live], band_of[use & live], k) for key in keys]
-            self.context = [self._count(key[use & live], band_of[use & live], k) for key in self._contexts(flat)]
-            self.total = np.bincount(band_of[use & live], minlength=k).astype(float) + 1.0
-            if use is not None and not use.all() and (held & live).any():
-                parts = self._parts(flat)[held & live]  # n x k x 4
-                mine = parts[np.arange(len(parts)), band_of[held & live]]
-                for b in range(k):
-                    rows = mine[band_of[held & live] == b]
-                    w = np.array([0.4, 0.3, 0.2, 0.1])
-                    for _ in range(8 if len(rows) else 0):
-                        share = rows * w
-                        share /= share.sum(1, keepdims=True)
-                        w = share.mean(0)
-                    self.weights[b] = np.maximum(w, 1e-3) / np.maximum(w, 1e-3).sum()
+        self.doc_of = np.repeat(np.arange(len(docs)), np.diff(cut))[live]
+        self.tables = [np.unique(key[live], return_inverse=True) for key in (*ngrams(flat, self.size), *contexts(flat, self.size))]
+
+    def counts(self, band_of: np.ndarray, use: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each table its sorted keys and their number per band, over the tokens of use; a last row is all zeros."""
+        out = []
+        for distinct, at in self.tables:
+            n = np.bincount(at[use] * k + band_of[use], minlength=(len(distinct) + 1) * k).reshape(-1, k).astype(np.float32)
+            out.append((distinct, n))
+        return out
 
-    def encode(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Token numbers of all documents in a row, each closed by END, and where each begins."""
-        get, out, cut = self.vocab.__getitem__, [], [0]
-        for d in docs:
-            out += map(get, d)
-            out.append(END)
-            cut.append(len(out))
-        return np.array(out, np.int64), np.array(cut)
-
-    def _keys(self, flat: np.ndarray) -> list[np.ndarray]:
-        a, b = np.roll(flat, 2), np.roll(flat, 1)
-        a[:2], b[:1] = END, END
-        a[b == END] = END
-        return [flat, b * self.size + flat, (a * self.size + b) * self.size + flat]
-
-    def _contexts(self, flat: np.ndarray) -> list[np.ndarray]:
-        a, b = np.roll(flat, 2), np.roll(flat, 1)
-        a[:2], b[:1] = END, END
-        a[b == END] = END
-        return [b, a * self.size + b]
 
-    @staticmethod
-    def _count(keys: np.ndarray, band: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        distinct, at = np.unique(keys, return_inverse=True)
-        counts = np.zeros((len(distinct) + 1, k), np.float32)
-        np.add.at(counts, (at, band), 1.0)
-        return distinct, counts
+def encode(vocab: dict[str, int], docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Token numbers of all documents in a row, each closed by END, and where each begins."""
+    get, out, cut = vocab.__getitem__, [], [0]
+    for d in docs:
+        out += map(get, d)
+        out.append(END)
+        cut.append(len(out))
+    return np.array(out, np.int64), np.array(cut)
+
+
+def ngrams(flat: np.ndarray, size: np.int64) -> list[np.ndarray]:
+    a, b = np.roll(flat, 2), np.roll(flat, 1)
+    a[:2], b[:1] = END, END
+    a[b == END] = END
+    return [flat, b * size + flat, (a * size + b) * size + flat]
+
+
+def contexts(flat: np.ndarray, size: np.int64) -> list[np.ndarray]:
+    a, b = np.roll(flat, 2), np.roll(flat, 1)
+    a[:2], b[:1] = END, END
+    a[b == END] = END
+    return [b, a * size + b]
+
+
+#: Folds that calibration is made on: each document is judged by models that never saw it.
+FOLDS = 5
+
+
+class Bands:
+    """Interpolated trigram models of the bands over one vocabulary; arrays only, so it ships as it is.
+
+    without: a fold (documents i with i % FOLDS == without) that is left out of the counts. Weights are fitted by EM on
+    the first fold under the counts of the others, unless given.
+    """
+
+    def __init__(self, docs: list[list[str]] | Corpus, bands: np.ndarray, levels: np.ndarray, without: int | None = None, weights: np.ndarray | None = None):
+        corpus = docs if isinstance(docs, Corpus) else Corpus(docs)
+        self.levels, self.vocab, self.size, self.kind = levels, corpus.vocab, corpus.size, corpus.kind
+        k, band_of, fold = len(levels), bands[corpus.doc_of], corpus.doc_of % FOLDS
+        self.weights = self._em(corpus, band_of, fold, k) if weights is None else weights
+        use = np.ones_like(fold, bool) if without is None else fold != without
+        tables = corpus.counts(band_of, use, k)
+        self.grams, self.context = tables[:3], tables[3:]
+        self.total = np.bincount(band_of[use], minlength=k).astype(float) + 1.0
+
+    def _em(self, corpus: Corpus, band_of: np.ndarray, fold: np.ndarray, k: int) -> np.ndarray:
+        weights = np.full((k, 4), 0.25)
+        held = fold == 0
+        if held.all() or not held.any():
+            return weights
+        tables = corpus.counts(band_of, ~held, k)
+        total = np.bincount(band_of[~held], minlength=k).astype(float) + 1.0
+        band = band_of[held]
+        rows = np.arange(len(band))
+        g1, g2, g3, c2, c3 = (n[at[held]][rows, band] for (_, n), (_, at) in zip(tables, corpus.tables))
+        parts = np.stack([g3 / np.maximum(c3, 1.0), g2 / np.maximum(c2, 1.0), g1 / total[band], np.full(len(band), 1.0 / float(self.size))], 1)
+        for b in range(k):
+            mine = parts[band == b]
+            w = np.array([0.4, 0.3, 0.2, 0.1])
+            for _ in range(8 if len(mine) else 0):
+                share = mine * w
+                share /= share.sum(1, keepdims=True)
+                w = share.mean(0)
+            weights[b] = np.maximum(w, 1e-3) / np.maximum(w, 1e-3).sum()
+        return weights
+
+    def encode(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        return encode(self.vocab, docs)
 
     @staticmethod
     def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
@@ -134,16 +168,6 @@ class Bands:
         at[distinct[at] != keys] = len(distinct)  # the last row is all zeros
         return counts[at]
 
-    def _parts(self, flat: np.ndarray) -> np.ndarray:
-        g1, g2, g3 = (self._look(t, key) for t, key in zip(self.grams, self._keys(flat)))
-        c2, c3 = (self._look(t, key) for t, key in zip(self.context, self._contexts(flat)))
-        out = np.empty((*g1.shape, 4), np.float32)
-        out[..., 0] = g3 / np.maximum(c3, 1.0)
-        out[..., 1] = g2 / np.maximum(c2, 1.0)
-        out[..., 2] = g1 / self.total
-        out[..., 3] = 1.0 / float(self.size)
-        return out
-
     def finish(self) -> None:
         """Joins each trigram with its words' lower orders into one table of log probabilities per order."""
         n2, n3 = self.grams[1], self.grams[2]
@@ -169,7 +193,7 @@ class Bands:
 
     def surprisal(self, flat: np.ndarray) -> np.ndarray:
         """Negative log probability of each token under each band's model, at the longest order that is known."""
-        _, two, three = self._keys(flat)
+        _, two, three = ngrams(flat, self.size)
         out = self.dense[flat]
         for keys, rows, q in ((self.k2, self.p2, two), (self.k3, self.p3, three)):
             if len(keys):
@@ -249,11 +273,13 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return uniq, fit
 
 
-def train(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id: str, band: str, max_labelled: int = 4000) -> tuple[Bands, np.ndarray, np.ndarray] | None:
-    """The bands' models and the isotonic fit, from at most max_labelled labelled documents (lowest id hashes).
+def train(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id: str, band: str, max_labelled: int = 4000, max_bytes: int = 256 << 20) -> tuple[Bands, np.ndarray, np.ndarray] | None:
+    """The bands' models and the isotonic fit, from at most max_labelled labelled documents (lowest id hashes) of at most max_bytes in all.
 
-    Raters err: a document's band is its raters' mean, and the models are trained a second time on the bands
-    that the first ones give. None where no document with a text is labelled.
+    Raters err: a document's band is first its raters' mean. Every document's difficulty is then taken by models of the
+    other folds, and isotonic regression of the raters' bands on these out-of-fold difficulties says which band each
+    document is counted to in the second and last round, whose out-of-fold difficulties give the fit that is kept.
+    None where no document with a text is labelled.
     """
     sample = (
         labels.where(F.col(label_id).isNotNull() & F.col(band).isNotNull())
@@ -263,24 +289,42 @@ def train(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id:
         .limit(max_labelled)
     )
     texts = docs.select(F.col(doc_id).cast("bigint").alias("label_id"), F.col(text).cast("string").alias("body")).where(F.length("body") > 0)
-    rows = texts.join(F.broadcast(sample), "label_id").orderBy("label_id").toArrow()
+    rows = texts.join(F.broadcast(sample), "label_id").withColumn("size", F.octet_length("body"))
+    before = F.sum("size").over(W.orderBy(F.xxhash64("label_id"), "label_id", "body").rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("before", before).where(F.coalesce("before", F.lit(0)) + F.col("size") <= max_bytes).orderBy("label_id", "body").toArrow()
     if not rows.num_rows:
         return None
-    mean = np.array(rows.column("mean_band").to_pylist(), float)
-    parts = [tokens(t) for t in rows.column("body").to_pylist()]
+    return fit([tokens(t) for t in rows.column("body").to_pylist()], np.array(rows.column("mean_band").to_pylist(), float))
+
+
+def fit(parts: list[list[str]], mean: np.ndarray) -> tuple[Bands, np.ndarray, np.ndarray]:
     levels = np.arange(int(np.floor(mean.min())), int(np.ceil(mean.max())) + 1)
-    k = len(levels)
     given = np.floor(mean + 0.5).astype(int) - levels[0]
+    corpus = Corpus(parts)
+    fold = np.arange(len(parts)) % FOLDS
     for _ in range(2):
-        model = Bands(parts, given, levels)
-        model.finish()
-        shares = profile(model, parts)[:, :k]
-        given = shares.argmax(1)
-    return model, *isotonic(difficulty(shares), mean)
+        weights = Bands(corpus, given, levels).weights
+        apart = np.empty(len(parts))
+        for f in range(FOLDS):
+            mine = np.flatnonzero(fold == f)
+            if len(mine):
+                model = Bands(corpus, given, levels, f if len(mine) < len(parts) else None, weights)
+                model.finish()
+                apart[mine] = difficulty(profile(model, [parts[i] for i in mine])[:, : len(levels)])
+        xs, ys = isotonic(apart, mean)
+        last, given = given, np.clip(np.floor(np.interp(apart, xs, ys) + 0.5), levels[0], levels[-1]).astype(int) - levels[0]
+    model = Bands(corpus, last, levels, None, weights)
+    model.finish()
+    return model, xs, ys
 
 
 def reading_levels(docs: DataFrame, doc_id: str, text: str, fitted: tuple[Bands, np.ndarray, np.ndarray] | None, min_units: int = 3, max_numbers: float = 0.18) -> DataFrame:
-    """(doc_id, band, difficulty, surprisal, words) of each document that is running English text.
+    """(doc_id, band, difficulty, surprisal, words) of each document that is running English text, see judged()."""
+    return judged(docs, doc_id, text, fitted, min_units, max_numbers).where("left_out is null").drop("left_out")
+
+
+def judged(docs: DataFrame, doc_id: str, text: str, fitted: tuple[Bands, np.ndarray, np.ndarray] | None, min_units: int = 3, max_numbers: float = 0.18) -> DataFrame:
+    """(doc_id, band, difficulty, surprisal, words, left_out): left_out says why a document is no running English text.
 
     Running English text: at least min_units sentences or list lines, more English function words than other
     languages' ones, and fewer numbers than lists of references or tables have. Whole texts are read, in one
@@ -292,20 +336,20 @@ def reading_levels(docs: DataFrame, doc_id: str, text: str, fitted: tuple[Bands,
     slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.length("text") > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "band", "difficulty", "surprisal", "words"]
+        names = ["doc_id", "band", "difficulty", "surprisal", "words", "left_out"]
         for batch in batches:
             if shared.value is None or not batch.num_rows:
                 continue
             model, xs, fit = shared.value
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids = batch.column(0)
             body = batch.column(1)
             for at in range(0, batch.num_rows, 500):
                 got = profile(model, [tokens(t) for t in body.slice(at, 500).to_pylist()])
                 k = len(model.levels)
                 score = difficulty(got[:, :k])
                 band = np.clip(np.floor(np.interp(score, xs, fit) + 0.5), model.levels[0], model.levels[-1]).astype(np.int32)
-                keep = (got[:, k + UNITS] >= min_units) & (got[:, k + ENGLISH] > got[:, k + OTHER]) & (got[:, k + NUMBERS] < max_numbers)
-                cols = [ids[at : at + 500], band, score, got[:, k + SURPRISAL], got[:, k + WORDS].astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names)
+                why = np.select([got[:, k + UNITS] < min_units, got[:, k + ENGLISH] <= got[:, k + OTHER], got[:, k + NUMBERS] >= max_numbers], ["FEW_SENTENCES", "NOT_ENGLISH", "NUMBERS"], "")
+                cols = [ids.slice(at, 500), pa.array(band), pa.array(score), pa.array(got[:, k + SURPRISAL]), pa.array(got[:, k + WORDS].astype(np.int64)), pa.array([w or None for w in why.tolist()], pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, names)
 
-    return slim.mapInArrow(run, "doc_id bigint, band int, difficulty double, surprisal double, words bigint")
+    return slim.mapInArrow(run, "doc_id bigint, band int, difficulty double, surprisal double, words bigint, left_out string")
