@@ -5,7 +5,7 @@ identity (a valid ORCID, or the same full name in the same field). Every profile
 spellings and initials of its keys. Profiles enter blocks under each spelling (family name with one letter
 left out, or whole, and the given name's initial), block neighbours are compared, each profile finds its
 best partner, pairs that are each other's best partner merge, and the richer profiles enter the blocks
-again, until no two profiles merge any more.
+again, under the family and given names they now have together, until no two profiles merge any more.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions import peg
@@ -93,6 +93,16 @@ def fold(text: str) -> str:
     return _QUOTES.sub("", _DASHES.sub("-", s))
 
 
+#: fold() of single words, which recur.
+fold_word = lru_cache(maxsize=200_000)(fold)
+
+
+@lru_cache(maxsize=200_000)
+def _is_title(token: str) -> bool:
+    f = fold(token)
+    return f.strip(".,") in TITLES or f.strip(",") in TITLES
+
+
 class Name:
     """A parsed spelling: family name, given names (joined without hyphens) and all initials."""
 
@@ -121,57 +131,58 @@ def parse(text: str) -> Name | None:
     raw = _INVISIBLE.sub("", text).strip()
     nick = ""
     if m := _BRACKETS.search(raw):
-        nick = fold(m.group(1)).strip()
+        nick = fold_word(m.group(1)).strip()
         raw = _BRACKETS.sub(" ", raw)
     before, comma, after = raw.partition(",")
-    if comma and sum(w not in PARTICLES for w in fold(before).split()) > 1 and all(t in LETTERS for t in fold(after).replace(".", "").replace(",", " ").split()):
+    if comma and sum(w not in PARTICLES for w in fold_word(before).split()) > 1 and all(t in LETTERS for t in fold_word(after).replace(".", "").replace(",", " ").split()):
         raw, comma = before, ""
     if comma:
         family = _words(before)
         given = _given(after)
         return Name("".join(family), given, nick, None) if family else None
     # letters in capitals are initials when they follow a family name
-    tokens = [t for t in raw.split() if fold(t).strip(".,") not in TITLES and fold(t).strip(",") not in TITLES]
+    tokens = [t for t in raw.split() if not _is_title(t)]
     while len(tokens) > 2 and _after_name(tokens[-1]):  # of two tokens the last may be initials
         tokens.pop()
     if not tokens:
         return None
     last = tokens[-1]
     bare = last.replace(".", "").replace("-", "")
-    if len(tokens) > 1 and bare.isalpha() and ("." in last or (bare.isupper() and len(bare) <= 3)) and len(fold(tokens[0]).strip(".")) > 1 and "." not in tokens[0]:
-        letters = list(fold(bare))
-        family = [fold(t) for t in tokens[:-1]]
+    if len(tokens) > 1 and bare.isalpha() and ("." in last or (bare.isupper() and len(bare) <= 3)) and len(fold_word(tokens[0]).strip(".")) > 1 and "." not in tokens[0]:
+        letters = list(fold_word(bare))
+        family = [fold_word(t) for t in tokens[:-1]]
         return Name("".join(family).replace("-", "").replace(".", ""), [c + "." for c in letters], nick, None)
     at = len(tokens) - 1
-    while at > 1 and fold(tokens[at - 1]) in PARTICLES:
+    while at > 1 and fold_word(tokens[at - 1]) in PARTICLES:
         at -= 1
     family = "".join(_words(" ".join(tokens[at:])))
     given = _given(" ".join(tokens[:at]))
     other = None
-    if len(tokens) == 2 and not _initial(fold(tokens[0])):
-        other = (fold(tokens[0]).replace("-", ""), fold(tokens[1]).replace("-", ""))
+    if len(tokens) == 2 and not _initial(fold_word(tokens[0])):
+        other = (fold_word(tokens[0]).replace("-", ""), fold_word(tokens[1]).replace("-", ""))
     return Name(family, given, nick, other) if family else None
 
 
+@lru_cache(maxsize=200_000)
 def _after_name(token: str) -> bool:
     """Letters after a name, as AM or Jr; initials with dots are none."""
-    f = fold(token)
+    f = fold_word(token)
     return f.strip(".") in ("jr", "sr") and not token.isupper() or f in LETTERS and token.isupper() or f.replace(".", "") in LETTERS and "." in token and not token.replace(".", "").isupper()
 
 
 def _words(text: str) -> list[str]:
-    return [w.replace("-", "").strip(".") for w in fold(text).split() if w.strip(".,-")]
+    return [w.replace("-", "").strip(".") for w in fold_word(text).split() if w.strip(".,-")]
 
 
 def _given(text: str) -> list[str]:
     out = []
     for t in text.replace(",", " ").split():
-        f = fold(t)
+        f = fold_word(t)
         bare = t.replace(".", "").replace("-", "")
         if f.strip(".") in TITLES or len(bare) > 2 and _after_name(t):
             continue
         if "." in t or (bare.isupper() and len(bare) <= 3 and bare.isalpha() and len(bare) > 1):
-            out += [c + "." for c in fold(bare)]
+            out += [c + "." for c in fold_word(bare)]
         elif f.strip(".-"):
             out.append(f.strip("-"))
     return out
@@ -252,6 +263,10 @@ def _family_given(a: Name, b: Name) -> tuple[int, str, str] | None:
     return None
 
 
+#: The highest score.
+MOST = 10
+
+
 def score(a: Name, b: Name) -> int:
     """How well two spellings agree: 7 to 10 with given names, 4 to 6 by initials, 3 with more errors, 0 not at all; -1: family name alike, given names of two people."""
     found = _family_given(a, b)
@@ -350,44 +365,96 @@ def _compatible(x: str, y: str):
     return F.col(x).isNull() | F.col(y).isNull() | (F.col(x) == F.col(y))
 
 
+def recombined(spellings: list[str]) -> list[str]:
+    """The spellings that a profile's family and given names make beside its own, each as 'family, given names (nickname)'.
+
+    Only families that are typing variants of the commonest one take part, and only given names that were written beside one of
+    those (spellings in another order have their family name elsewhere); a single initial adds nothing.
+    """
+    own = [n for n in map(parse, spellings) if n is not None]
+    near = {n.family: sum(_close(n.family, m.family) < 9 for m in own) for n in own}
+    most = max(near.values(), default=0)
+    kin = [n for n in own if near[n.family] == most]
+    if most < 2 or any(_close(kin[0].family, n.family) == 9 for n in kin):
+        return []
+    kin = [n for n in own if _close(kin[0].family, n.family) < 9]
+    have = {(n.family, tuple(n.given)) for n in own}
+    givens = {tuple(n.given): n.nick for n in kin if len("".join(n.given)) > 1}
+    return [f"{f}, {' '.join(g)}" + (f" ({nick})" if nick else "") for f in sorted({n.family for n in kin}) for g, nick in sorted(givens.items()) if (f, g) not in have]
+
+
+def _recombined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """entity, spellings, field, orcid -> the blocks of its recombined spellings."""
+    for b in batches:
+        rows = [(block, e, name, field, orcid) for e, spellings, field, orcid in zip(*(c.to_pylist() for c in b.columns)) for name in recombined(spellings) for block in block_keys(parse(name))]
+        yield _arrow(rows, ["block", "entity", "name", "field", "orcid"], [pa.string(), pa.int64()] + [pa.string()] * 3)
+
+
+_BLOCKED = "block string, entity bigint, name string, field string, orcid string"
+
+
+def _neighbours(asking: DataFrame, blocks: DataFrame, bare: DataFrame | None, once: Column) -> DataFrame:
+    """(a, b, best, worst): scores of the spellings of profiles that share a block and may be one person by field.
+
+    With bare, the blocks of profiles without a field, rows of one block meet by field, so that only those without a field
+    meet a whole block; asking should then hold no more than blocks. Without bare, asking is small beside blocks.
+    """
+    a = asking.select("block", F.col("entity").alias("a"), F.col("name").alias("an"), F.col("field").alias("af"), F.col("orcid").alias("ao"))
+    side = lambda df: df.select("block", F.col("entity").alias("b"), F.col("name").alias("bn"), F.col("field").alias("bf"), F.col("orcid").alias("bo"))
+    b = side(blocks)
+    if bare is None:
+        near = a.join(b, "block").where(_compatible("af", "bf"))
+    else:
+        near = a.join(b.withColumn("af", F.col("bf")), ["block", "af"]).select(*a.columns, *b.columns[1:])
+        near = near.unionByName(a.where("af is null").join(b, "block")).unionByName(a.where("af is not null").join(side(bare), "block"))
+    near = near.where((F.col("a") != F.col("b")) & (F.col("ao").isNull() | F.col("bo").isNull()) & once)
+    pairs = near.select("a", "an", "b", "bn").distinct().mapInArrow(_scored, "a bigint, b bigint, score int")
+    return pairs.groupBy("a", "b").agg(F.max("score").alias("best"), F.min("score").alias("worst"))
+
+
 def resolve(people: DataFrame, key: str, name: str, orcid: str, field: str, max_rounds: int = 1000) -> DataFrame:
-    """(key, name, entity): every key with a name, and the smallest key of the person it belongs to.
+    """(key, name, entity, names): every key with a name, all its names, and the smallest key of the person it belongs to.
 
     Two valid ORCIDs or two fields that differ make two persons. Pairs of profiles that both have an ORCID
     are never compared, as equal ones are one profile already: what is compared is linear in a block that
     many people of one name share. A profile whose best partners are several persons (of several ORCIDs,
-    fields or given names) stays alone until they have merged. Keys without a name are left out; a key
-    delivered several times counts once; repeated rows, ties and extra columns change nothing.
+    fields or given names) stays alone until they have merged. A profile that has grown unites its spellings and
+    initials and enters the blocks again with each family name under each given name or initials it now has.
+    Keys without a name are left out; a key delivered several times counts once, with all its spellings (name is the
+    greatest); repeated rows, ties and extra columns change nothing.
     """
-    rows = (
-        people.where(F.col(key).isNotNull() & F.col(name).isNotNull())
-        .groupBy(F.col(key).cast("bigint").alias("key"))
-        .agg(F.max(F.col(name)).alias("name"), F.max(field).alias("field"), F.max(orcid).alias("orcid"))
-        .mapInArrow(_parsed, "key bigint, name string, field string, orcid string, full string, given string")
-    )
-    proof = F.coalesce(F.concat(F.lit("o"), "orcid"), F.when(F.col("field").isNotNull(), F.concat_ws("\t", F.lit("n"), "full", "field")).otherwise(None), F.concat(F.lit("k"), F.col("key").cast("string")))
-    proof = F.when(F.col("orcid").isNull() & F.col("full").isNull(), F.concat(F.lit("k"), F.col("key").cast("string"))).otherwise(proof)
-    rows = checkpointed(rows.withColumn("proof", proof))
-    first = rows.groupBy("proof").agg(F.min("key").alias("entity"), F.max("orcid").alias("e_orcid"), F.max("field").alias("e_field"), F.max("given").alias("e_given"))
-    nodes = rows.join(first, "proof").select("key", "name", F.col("entity").alias("node"), "e_orcid", "e_field", "e_given")
-    nodes = checkpointed(nodes)
-    spellings = nodes.select(F.col("node").alias("entity"), "name", F.col("e_field").alias("field"), F.col("e_orcid").alias("orcid")).distinct()
-    blocks = spellings.mapInArrow(_blocked, "block string, entity bigint, name string, field string, orcid string")
-    left = blocks.where(F.col("orcid").isNull()).select("block", F.col("entity").alias("a"), F.col("name").alias("an"), F.col("field").alias("af"))
-    right = blocks.select("block", F.col("entity").alias("b"), F.col("name").alias("bn"), F.col("field").alias("bf"), F.col("orcid").alias("bo"))
-    near = left.join(right, "block").where((F.col("a") != F.col("b")) & _compatible("af", "bf") & (F.col("bo").isNotNull() | (F.col("a") < F.col("b"))))
-    pairs = near.select("a", "an", "b", "bn").distinct().mapInArrow(_scored, "a bigint, b bigint, score int")
-    pairs = checkpointed(pairs.groupBy("a", "b").agg(F.max("score").alias("best"), F.min("score").alias("worst")))
-    now = checkpointed(nodes.select("node", F.col("node").alias("entity"), F.col("e_orcid").alias("orcid"), F.col("e_field").alias("field"), F.col("e_given").alias("given")).distinct())
+    named = people.where(F.col(key).isNotNull() & F.col(name).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(name).alias("name"), F.col(field).alias("field"), F.col(orcid).alias("orcid"))
+    once = named.groupBy("key").agg(F.collect_set("name").alias("names"), F.max("field").alias("field"), F.max("orcid").alias("orcid"))
+    rows = once.select("key", F.explode("names").alias("name"), "field", "orcid").mapInArrow(_parsed, "key bigint, name string, field string, orcid string, full string, given string")
+    rows = checkpointed(rows)
+    sure = rows.groupBy("key").agg(F.max("orcid").alias("orcid"), F.max("field").alias("field"), F.min("full").alias("full"), F.max("given").alias("given"), F.max("name").alias("name"))
+    alone = F.concat(F.lit("k"), F.col("key").cast("string"))
+    proof = F.coalesce(F.concat(F.lit("o"), "orcid"), F.when(F.col("field").isNotNull() & F.col("full").isNotNull(), F.concat_ws("\t", F.lit("n"), "full", "field")), alone)
+    sure = sure.withColumn("proof", proof)
+    first = sure.groupBy("proof").agg(F.min("key").alias("node"), F.max("orcid").alias("e_orcid"), F.max("field").alias("e_field"), F.max("given").alias("e_given"))
+    keys = checkpointed(sure.select("key", "name", "proof").join(first, "proof").drop("proof"))
+    nodes = rows.select("key", F.col("name").alias("spelling")).join(keys, "key")
+    spellings = materialized(nodes.select(F.col("node").alias("entity"), F.col("spelling").alias("name"), F.col("e_field").alias("field"), F.col("e_orcid").alias("orcid")).distinct())
+    blocks = materialized(spellings.mapInArrow(_blocked, _BLOCKED))
+    bare = materialized(blocks.where("field is null"))
+    asking = blocks.where("field is not null and orcid is null").unionByName(bare.where("orcid is null"))
+    pairs = checkpointed(_neighbours(asking, blocks, bare, F.col("bo").isNotNull() | (F.col("a") < F.col("b"))))
+    now = checkpointed(keys.select("node", F.col("node").alias("entity"), F.col("e_orcid").alias("orcid"), F.col("e_field").alias("field"), F.col("e_given").alias("given")).distinct())
     for _ in range(max_rounds):
-        merged = _round(pairs, now)
-        now = checkpointed(merged)
-        if not now.where("changed").limit(1).count():
-            break
+        now = checkpointed(_round(pairs, now))
+        grown = now.where("changed").select("entity").distinct()
         now = now.drop("changed")
+        richer = now.select(F.col("node"), "entity", "orcid", "field").join(grown, "entity", "left_semi").join(spellings.select(F.col("entity").alias("node"), "name"), "node")
+        richer = richer.groupBy("entity", "field", "orcid").agg(F.collect_set("name").alias("names")).select("entity", "names", "field", "orcid")
+        richer = checkpointed(richer)
+        if not richer.limit(1).count():
+            break
+        asking = materialized(richer.where(F.size("names") > 1).mapInArrow(_recombined, _BLOCKED))
+        found = _neighbours(asking, blocks, None, F.lit(True))
+        pairs = checkpointed(pairs.unionByName(found.where("best > 0").select("a", "b", "best", F.col("best").alias("worst"))))
     else:
         raise RuntimeError(f"resolve: profiles still merge after {max_rounds} rounds")
-    return nodes.select("key", "name", "node").join(now.select("node", "entity"), "node").select("key", "name", "entity")
+    return keys.select("key", "name", "node").join(now.select("node", "entity"), "node").join(once.select("key", "names"), "key").select("key", "name", "entity", "names")
 
 
 def _round(pairs: DataFrame, now: DataFrame) -> DataFrame:
@@ -437,7 +504,8 @@ def author_entries(papers: DataFrame, paper_id: str, person_key: str, authors: s
     of equals the first. Papers whose list doesn't hold the researcher, or whose key has no name, give no row.
     Null and blank lists hold nobody.
     """
-    spelt = resolved.groupBy("entity").agg(F.array_sort(F.collect_set("name")).alias("spellings"))
+    every = F.explode("names") if "names" in resolved.columns else F.col("name")
+    spelt = resolved.select("entity", every.alias("name")).groupBy("entity").agg(F.array_sort(F.collect_set("name")).alias("spellings"))
     who = resolved.join(spelt, "entity").select("key", "name", "spellings")
     slim = papers.select(F.col(paper_id).cast("bigint").alias("paper_id"), F.col(person_key).cast("bigint").alias("key"), F.col(authors).cast("string").alias("authors"))
     return slim.where(F.col("authors").isNotNull()).join(who, "key").select("paper_id", "key", "authors", "name", "spellings").mapInArrow(_own_entry, "paper_id bigint, key bigint, pos int, entry string, name string")
@@ -453,9 +521,13 @@ def _own_entry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best, found = 2, None
             for pos, v, _ in peg.parse(authors, True):
                 n = parse(v)
-                s = max(score(n, o) for o in own) if n is not None else 0
+                if n is None:
+                    continue
+                s = score(n, own[0]) if len(own) == 1 else max([score(n, o) for o in own])
                 if s > best:
                     best, found = s, (paper, key, pos, v, name)
+                    if s == MOST:  # of equals the first counts
+                        break
             if found:
                 rows.append(found)
         yield _arrow(rows, ["paper_id", "key", "pos", "entry", "name"], [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()])

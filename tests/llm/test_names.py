@@ -111,3 +111,16 @@ def test_own_entries_with_any_typing_error_and_any_spelling(spark):
     df = spark.createDataFrame(pubs, "publication_id bigint, researcher_id bigint, authors string")
     got = {r.paper_id: r.pos for r in N.author_entries(df, "publication_id", "researcher_id", "authors", res).collect()}
     assert got == {10: 2, 11: 1, 12: 2}
+
+
+def test_links_that_exist_only_after_a_merge(spark):
+    rows = [(1, "Rebecca Holtmann", None, "Finance"), (2, "Becky J Holtman", None, "Finance"), (3, "B. J. Holtmaann", None, "Finance")]
+    a, b, c = (P(r[1]) for r in rows)
+    assert N.score(a, c) < 4 and N.score(b, c) < 4 and N.score(a, b) > 6
+    assert people(spark, rows) == [[1, 2, 3]]
+    assert people(spark, [rows[0], rows[2]]) == [[1], [3]] and people(spark, rows[1:]) == [[2], [3]]
+
+
+def test_all_spellings_of_a_key_count(spark):
+    rows = [(1, "Rebecca Holtmann", None, "Finance"), (1, "Rebecca Lindqvist", None, "Finance"), (2, "R. Lindqvist", None, "Finance"), (3, "R. Holtmann", None, "Finance")]
+    assert people(spark, rows) == [[1, 2, 3]]
