@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from sheaf.functions import peg
 
 
-def split_values(df: DataFrame, key: str, column: str, people: bool = False) -> DataFrame:
+def split_values(df: DataFrame, key: str, column: str, people: bool = False, errors: bool = False) -> DataFrame:
     """(record_id, pos, val, error_flag) for every single value of df[column]; key is carried as record_id.
 
+    With errors also a row without val for each empty element and each 'et al', pos being the place of the value before it.
+
     Only the two columns are read; each Arrow batch is parsed on its own, so no shuffle is needed and
     a hot key or very long text stays within its batch. Null, blank or separator-only fields give no
     rows; repeated rows give repeated results (use distinct keys where that matters); extra columns are
@@ -21,13 +23,13 @@ def split_values(df: DataFrame, key: str, column: str, people: bool = False) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, list[tuple[int, str, str]]] = {}
+        memo: dict[str, list[tuple[int, str | None, str]]] = {}
         for batch in batches:
             ids, pos, val, flag = [], [], [], []
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 got = memo.get(text)
                 if got is None:
-                    got = peg.parse(text, people)
+                    got = peg.elements(text, people) if errors else peg.parse(text, people)
                     if len(memo) < 4096:
                         memo[text] = got
                 for p, v, f in got:

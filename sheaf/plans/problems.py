@@ -12,9 +12,9 @@ from sheaf.operators.orphans import orphan_references, orphan_report
 from sheaf.session import table
 
 
-def _p5_all(spark: SparkSession, d: str) -> DataFrame:
-    names = split_values(table(spark, d, "publications"), "publication_id", "authors", people=True)
-    labels = split_values(table(spark, d, "anu_journals"), "row_id", "scimago_categories")
+def _p5_all(spark: SparkSession, d: str, errors: bool = False) -> DataFrame:
+    names = split_values(table(spark, d, "publications"), "publication_id", "authors", people=True, errors=errors)
+    labels = split_values(table(spark, d, "anu_journals"), "row_id", "scimago_categories", errors=errors)
     return names.withColumn("table_name", F.lit("publications")).unionByName(labels.withColumn("table_name", F.lit("anu_journals")))
 
 
@@ -23,8 +23,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_errors(spark: SparkSession, d: str) -> DataFrame:
-    """Values by error flag and table."""
-    return _p5_all(spark, d).groupBy("table_name", "error_flag").agg(F.count(F.lit(1)).alias("vals"))
+    """Elements by table and error flag: null for values without fault, else MALFORMED_QUOTE, EMPTY_ELEMENT or ET_AL."""
+    return _p5_all(spark, d, errors=True).groupBy("table_name", "error_flag").agg(F.count(F.lit(1)).alias("elements"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
