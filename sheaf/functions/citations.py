@@ -62,7 +62,7 @@ def citations(df: DataFrame, key: str, text: str) -> DataFrame:
         for b in batches:
             got = [(k, *p) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (p := parse_citation(t))]
             cols = list(zip(*got)) if got else [()] * 11
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), *kinds])], ["key", *_FIELDS])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [b.schema.field(0).type, *kinds])], ["key", *_FIELDS])
 
-    schema = "key bigint, title string, journal string, year int, doi string, authors string, volume string, issue string, pages string, status string, confident boolean"
-    return df.select(F.col(key).cast("bigint").alias("key"), text).where(F.col(text).isNotNull()).mapInArrow(run, schema)
+    schema = f"key {df.schema[key].dataType.simpleString()}, title string, journal string, year int, doi string, authors string, volume string, issue string, pages string, status string, confident boolean"
+    return df.select(F.col(key).alias("key"), text).where(F.col(text).isNotNull()).mapInArrow(run, schema)

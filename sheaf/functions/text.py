@@ -19,6 +19,15 @@ SMALL_WORDS = ("a", "an", "and", "as", "at", "by", "for", "in", "of", "on", "or"
 REPOSITORY_VENUES = ("ssrn", "ssrn electronic journal", "repec", "arxiv", "arxiv.org", "zenodo", "figshare", "research square")
 
 
+#: What keys leave out.
+NO_KEY = r"[^\p{L}\p{M}\p{N}]+"
+
+
+def source_name(x: Column | str) -> Column:
+    """A source's name without regard to case, blanks, hyphens and underscores."""
+    return F.lower(F.trim(F.regexp_replace(_c(x), r"[\s_\-]+", " ")))
+
+
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -39,8 +48,8 @@ def squeeze(x: Column | str) -> Column:
 
 
 def title_key(x: Column | str) -> Column:
-    """Lower case, everything but ASCII letters and digits as one blank."""
-    return F.trim(F.regexp_replace(F.lower(_c(x)), "[^a-z0-9]+", " "))
+    """Lower case, everything but letters (with their marks) and digits of any script as one blank."""
+    return F.trim(F.regexp_replace(F.lower(_c(x)), NO_KEY, " "))
 
 
 def journal_key(x: Column | str) -> Column:
@@ -55,7 +64,7 @@ def article_key(x: Column | str) -> Column:
 
 def bare_key(x: Column | str) -> Column:
     """Letters and digits only."""
-    return F.regexp_replace(F.lower(_c(x)), "[^a-z0-9]+", "")
+    return F.regexp_replace(F.lower(_c(x)), NO_KEY, "")
 
 
 def slug(x: Column | str) -> Column:
@@ -73,7 +82,7 @@ def tidy_title(x: Column | str) -> Column:
         words,
         lambda w, i: F.when((i > 0) & F.lower(w).isin(*SMALL_WORDS), F.lower(w))
         .when((F.length(w) <= 4) & w.rlike("^[A-Z]{2,}$") & ~F.lower(w).isin(*SMALL_WORDS), w)
-        .otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 200)))),
+        .otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))),
     )
     return F.array_join(cased, " ")
 

@@ -106,11 +106,11 @@ def _may_be_near(a: str, b: str) -> Column:
 def _comparable(raw: str) -> str:
     """The key of a title without markup and accents."""
     plain = "".join(c for c in unicodedata.normalize("NFKD", clean_text(raw)) if not unicodedata.combining(c))
-    return re.sub("[^a-z0-9]+", " ", plain.lower()).strip()
+    return re.sub(r"[\W_]+", " ", plain.lower()).strip()
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with what is compared (c) and its signature: a hashed bit for each pair of neighbouring characters, repeated ones numbered. Rows without any ASCII letter or digit go."""
+    """Rows with what is compared (c) and its signature: a hashed bit for each pair of neighbouring characters, repeated ones numbered. Rows without any letter or digit go."""
     bits: dict[tuple[str, int], int] = {}
     for batch in batches:
         rows = {n: batch.column(n) for n in batch.schema.names}

@@ -124,13 +124,22 @@ def propagate(df: DataFrame, key: str, flag: str) -> DataFrame:
     return df.join(any_of, key, "left").withColumn(f"{flag}_any", F.coalesce(F.col("_any") == 1, F.col(flag))).drop("_any")
 
 
-def contains_join(df: DataFrame, text: str, phrases: DataFrame, phrase: str, max_phrases: int = 10_000) -> DataFrame:
-    """Rows with each phrase they contain. The rule table is read and checked; beyond max_phrases it raises."""
-    rows = [r[0] for r in phrases.select(phrase).where(F.col(phrase) != "").distinct().limit(max_phrases + 1).collect()]
-    if len(rows) > max_phrases:
+def contains_join(df: DataFrame, text: str, phrases: DataFrame, phrase: str, max_phrases: int | None = None) -> DataFrame:
+    """Rows with each phrase they contain, whatever the number of phrases; case doesn't count, null and empty phrases are none.
+
+    With max_phrases, a rule table that should be short is checked, and more phrases are an error.
+
+    Phrases of four or more characters meet a text by an equality join on the four characters they begin with, shorter ones,
+    of which there can only be few kinds, by their own length; contains() then decides.
+    """
+    rules = phrases.select(F.col(phrase).alias("_phrase")).where(F.col(phrase) != "").distinct().withColumn("_low", F.lower("_phrase"))
+    if max_phrases is not None and rules.limit(max_phrases + 1).count() > max_phrases:
         raise ValueError(f"more than {max_phrases} phrases")
-    hits = F.filter(F.array(*[F.lit(p) for p in sorted(rows)]).cast("array<string>"), lambda p: F.lower(F.col(text)).contains(F.lower(p)))
-    return df.withColumn(phrase, F.explode(hits))
+    rules = rules.withColumn("_gram", F.substring("_low", 1, 4))
+    low = df.withColumn("_row", F.struct("*")).select("_row", F.lower(text).alias("_text"))
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("_text")), lambda i: F.transform(F.array(*[F.lit(k) for k in (1, 2, 3, 4)]), lambda k: F.substr("_text", i, k)))))
+    hits = low.where(F.length("_text") > 0).withColumn("_gram", F.explode(grams)).join(rules, "_gram").where(F.contains("_text", F.col("_low")))
+    return hits.select("_row.*", F.col("_phrase").alias(phrase))
 
 
 def anti_both(used: DataFrame, known: DataFrame, key: str) -> DataFrame:

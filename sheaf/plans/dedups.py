@@ -14,7 +14,8 @@ from sheaf.session import table
 
 R = Registry()
 
-_K = "trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'))"
+_K = r"trim(regexp_replace(lower(title), '[^\p{L}\p{M}\p{N}]+', ' ', 'g'))"
+_SOURCE = r"lower(trim(regexp_replace(source, '[\s_\-]+', ' ', 'g')))"
 
 
 @R.query(
@@ -119,24 +120,25 @@ def outlier_screen(spark, d):
 @R.query(
     "screened_items",
     """WITH s AS (SELECT researcher_id FROM publications GROUP BY researcher_id HAVING count(journal_id) >= 5 AND count(*) FILTER (WHERE journal_id IS NOT NULL AND quality_rank IS NOT NULL) / count(journal_id) < 0.25)
-    SELECT publication_id, source FROM publications WHERE NOT (source IN ('open index', 'discovery feed') AND researcher_id IN (SELECT researcher_id FROM s)) OR source IS NULL""",
+    SELECT publication_id, source FROM (SELECT publication_id, researcher_id, """ + _SOURCE + """ AS source FROM publications) WHERE NOT (source IN ('open index', 'discovery feed') AND researcher_id IN (SELECT researcher_id FROM s)) OR source IS NULL""",
 )
 def screened_items(spark, d):
     """Retrieved rows of flagged owners go, listed ones stay."""
     p = table(spark, d, "publications")
     flagged = outlier_screen(spark, d).where("flagged").select("researcher_id", F.lit(True).alias("bad"))
-    got = p.select("publication_id", "researcher_id", "source").join(flagged, "researcher_id", "left")
+    got = p.select("publication_id", "researcher_id", text.source_name("source").alias("source")).join(flagged, "researcher_id", "left")
     return got.where("bad is null or source is null or source not in ('open index', 'discovery feed')").select("publication_id", "source")
 
 
 @R.query(
     "small_group_guard",
-    """SELECT researcher_id, listed, found FROM (SELECT researcher_id, count(*) FILTER (WHERE source = 'staff profile') AS listed, count(*) FILTER (WHERE source <> 'staff profile') AS found FROM publications GROUP BY researcher_id)
+    """SELECT researcher_id, listed, found FROM (SELECT researcher_id, count(*) FILTER (WHERE """ + _SOURCE + """ = 'staff profile') AS listed, count(*) FILTER (WHERE """ + _SOURCE + """ <> 'staff profile') AS found FROM publications GROUP BY researcher_id)
     WHERE found <= greatest(3 * listed, 20) AND NOT (listed = 0 AND found > 50)""",
 )
 def small_group_guard(spark, d):
     """Owners whose found items are in proportion to their listed ones."""
-    n = table(spark, d, "publications").groupBy("researcher_id").agg(F.count_if(F.col("source") == "staff profile").alias("listed"), F.count_if(F.col("source") != "staff profile").alias("found"))
+    source = text.source_name("source")
+    n = table(spark, d, "publications").groupBy("researcher_id").agg(F.count_if(source == "staff profile").alias("listed"), F.count_if(source != "staff profile").alias("found"))
     return n.where((F.col("found") <= F.greatest(3 * F.col("listed"), F.lit(20))) & ~((F.col("listed") == 0) & (F.col("found") > 50)))
 
 

@@ -12,7 +12,14 @@ from sheaf.session import table
 R = Registry()
 
 _ISSN = r"regexp_extract_all(upper(issn), '[0-9]{4}-?[0-9]{3}[0-9X]')"
-_JKEY = "regexp_replace(trim(regexp_replace(lower(replace({0}, '&', ' and ')), '[^a-z0-9]+', ' ', 'g')), '^the ', '')"
+_JKEY = r"regexp_replace(trim(regexp_replace(lower(replace({0}, '&', ' and ')), '[^\p{{L}}\p{{M}}\p{{N}}]+', ' ', 'g')), '^the ', '')"
+#: Publications with their source's name in one form, for the queries that take sources apart.
+_PUBS = r"(SELECT * REPLACE (lower(trim(regexp_replace(source, '[\s_\-]+', ' ', 'g'))) AS source) FROM publications)"
+
+
+def _sourced(spark, d):
+    """Publications with their source's name in one form."""
+    return table(spark, d, "publications").withColumn("source", text.source_name("source"))
 
 
 def _journals(spark, d):
@@ -157,13 +164,13 @@ def reviewed_exclusion_anti(spark, d):
 
 @R.query(
     "add_only_missing",
-    """WITH a AS (SELECT * FROM publications WHERE source = 'institution repository'), b AS (SELECT * FROM publications WHERE source = 'doi registry')
+    """WITH a AS (SELECT * FROM """ + _PUBS + """ WHERE source = 'institution repository'), b AS (SELECT * FROM """ + _PUBS + """ WHERE source = 'doi registry')
     SELECT publication_id FROM a UNION ALL SELECT publication_id FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.researcher_id = b.researcher_id AND a.doi = b.doi)
     AND NOT EXISTS (SELECT 1 FROM a WHERE a.researcher_id = b.researcher_id AND a.title = b.title AND a.year = b.year)""",
 )
 def add_only_missing(spark, d):
     """Only what is new to the person, by DOI or by title and year."""
-    p = table(spark, d, "publications").select("publication_id", "researcher_id", "doi", "title", "year", "source")
+    p = _sourced(spark, d).select("publication_id", "researcher_id", "doi", "title", "year", "source")
     got = joins.add_missing(p.where("source = 'institution repository'"), p.where("source = 'doi registry'"), [["researcher_id", "doi"], ["researcher_id", "title", "year"]])
     return got.select("publication_id")
 
@@ -171,11 +178,11 @@ def add_only_missing(spark, d):
 @R.query(
     "best_match_join",
     """SELECT * EXCLUDE (n) FROM (SELECT a.publication_id, b.publication_id AS match_id, row_number() OVER (PARTITION BY a.publication_id ORDER BY (b.year IS NOT DISTINCT FROM a.year) DESC, b.publication_id) AS n
-    FROM (SELECT * FROM publications WHERE source = 'staff profile') a LEFT JOIN (SELECT * FROM publications WHERE source = 'open index') b ON a.researcher_id = b.researcher_id AND lower(a.title) = lower(b.title)) WHERE n = 1""",
+    FROM (SELECT * FROM """ + _PUBS + """ WHERE source = 'staff profile') a LEFT JOIN (SELECT * FROM """ + _PUBS + """ WHERE source = 'open index') b ON a.researcher_id = b.researcher_id AND lower(a.title) = lower(b.title)) WHERE n = 1""",
 )
 def best_match_join(spark, d):
     """Metadata of the same title, the same year preferred, else the first."""
-    p = table(spark, d, "publications").select("publication_id", "researcher_id", F.lower("title").alias("k"), "year", "source")
+    p = _sourced(spark, d).select("publication_id", "researcher_id", F.lower("title").alias("k"), "year", "source")
     a = p.where("source = 'staff profile'").drop("source")
     b = p.where("source = 'open index'").select("researcher_id", "k", F.col("year").alias("b_year"), F.col("publication_id").alias("match_id"))
     got = joins.best_match(a, b, ["researcher_id", "k"], "publication_id", [(~F.col("b_year").eqNullSafe(F.col("year"))), F.col("match_id")])
@@ -184,14 +191,14 @@ def best_match_join(spark, d):
 
 @R.query(
     "merge_fill_full_outer",
-    """WITH a AS (SELECT researcher_id, year, min(cited_by_count) AS cited, min(oa_status) AS oa FROM publications WHERE source = 'institution repository' GROUP BY 1, 2),
-    b AS (SELECT researcher_id, year, min(cited_by_count) AS cited, min(oa_status) AS oa FROM publications WHERE source = 'open index' GROUP BY 1, 2)
+    """WITH a AS (SELECT researcher_id, year, min(cited_by_count) AS cited, min(oa_status) AS oa FROM """ + _PUBS + """ WHERE source = 'institution repository' GROUP BY 1, 2),
+    b AS (SELECT researcher_id, year, min(cited_by_count) AS cited, min(oa_status) AS oa FROM """ + _PUBS + """ WHERE source = 'open index' GROUP BY 1, 2)
     SELECT coalesce(a.researcher_id, b.researcher_id) AS researcher_id, coalesce(a.year, b.year) AS year, coalesce(a.cited, b.cited) AS cited, coalesce(a.oa, b.oa) AS oa,
     CASE WHEN a.researcher_id IS NULL THEN 'index' WHEN b.researcher_id IS NULL THEN 'repository' ELSE 'repository+index' END AS provenance FROM a FULL JOIN b ON a.researcher_id = b.researcher_id AND a.year = b.year""",
 )
 def merge_fill_full_outer(spark, d):
     """Two sources merged field by field."""
-    side = lambda s: table(spark, d, "publications").where(F.col("source") == s).groupBy("researcher_id", "year").agg(F.min("cited_by_count").alias("cited"), F.min("oa_status").alias("oa"))
+    side = lambda s: _sourced(spark, d).where(F.col("source") == s).groupBy("researcher_id", "year").agg(F.min("cited_by_count").alias("cited"), F.min("oa_status").alias("oa"))
     return joins.merge_sources(side("institution repository"), side("open index"), ["researcher_id", "year"], ["cited", "oa"], ("repository", "index"))
 
 
@@ -220,32 +227,69 @@ def _given(spark, d):
     return table(spark, d, "researchers").where("name is not null").groupBy("researcher_id").agg(F.min("name").alias("name"))
 
 
+#: Words of a name, letters of any script.
+_WORDS = r"list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{M}}]+', ' ', 'g')), ' '), lambda x: x <> '')))"
+
+
+def _words(name):
+    return F.array_sort(F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(name), r"[^\p{L}\p{M}]+", " "), " "), lambda w: w != "")))
+
+
 @R.query(
     "subset_plus_one_name",
-    r"""WITH r AS (SELECT researcher_id, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(min(name)), '[^a-z]+', ' ', 'g')), ' '), lambda x: x <> ''))) AS t FROM researchers WHERE name IS NOT NULL GROUP BY researcher_id),
-    e AS (SELECT researcher_id, t, unnest(t) AS w FROM r WHERE len(t) >= 2)
-    SELECT DISTINCT a.researcher_id AS short_id, b.researcher_id AS long_id FROM e a JOIN e b ON a.w = b.w AND length(a.w) >= 6 AND len(b.t) = len(a.t) + 1 AND len(list_intersect(a.t, b.t)) = len(a.t)""",
+    f"""WITH r AS (SELECT researcher_id, {_WORDS.format("min(name)")} AS t FROM researchers WHERE name IS NOT NULL GROUP BY researcher_id),
+    s AS (SELECT t, list_filter(t, lambda x: length(x) > 1) AS long, min(researcher_id) AS id, count(*) AS n FROM r WHERE len(t) >= 1 GROUP BY t),
+    one AS (SELECT a.id AS short_id, b.id AS long_id, a.n AS n_short, b.n AS n_long, 'one word more' AS rule FROM s a JOIN s b ON len(b.t) = len(a.t) + 1 AND len(a.t) >= 2 AND list_has_all(b.t, a.t)),
+    same AS (SELECT min(id) OVER w AS first_id, id, first_value(n) OVER (PARTITION BY long ORDER BY id) AS n_first, n FROM s WHERE len(long) >= 2 WINDOW w AS (PARTITION BY long))
+    SELECT * FROM one UNION ALL SELECT first_id, id, n_first, n, 'initials apart' FROM same WHERE first_id <> id""",
 )
 def subset_plus_one_name(spark, d):
-    """One name's words are another's but one; blocked by a long common word instead of all pairs."""
-    words = F.array_sort(F.array_distinct(F.filter(F.split(F.trim(F.regexp_replace(F.lower("name"), "[^a-z]+", " ")), " "), lambda w: w != "")))
-    r = _given(spark, d).select("researcher_id", words.alias("t")).where(F.size("t") >= 2)
-    e = r.withColumn("w", F.explode("t")).where(F.length("w") >= 6)
-    b = e.select("w", F.col("researcher_id").alias("long_id"), F.col("t").alias("u"))
-    hit = (F.size("u") == F.size("t") + 1) & (F.size(F.array_except("t", "u")) == 0)
-    return e.join(b, "w").where(hit).select(F.col("researcher_id").alias("short_id"), "long_id").distinct()
+    """Names whose words are another's but one, and names equal but for initials, as pairs of different word sets.
+
+    Equal word sets count once, with their smallest key and their number. A set of n words meets others by the
+    n sets that lack one word of it, so equality joins find every pair, however short the words are.
+    """
+    r = _given(spark, d).select("researcher_id", _words("name").alias("t")).where(F.size("t") >= 1)
+    s = r.groupBy("t").agg(F.min("researcher_id").alias("id"), F.count(F.lit(1)).alias("n"))
+    short = s.where(F.size("t") >= 2).select("t", F.col("id").alias("short_id"), F.col("n").alias("n_short"))
+    less = F.explode(F.transform("t", lambda w: F.array_remove("t", w))).alias("t")
+    long = s.where(F.size("t") >= 3).select(less, F.col("id").alias("long_id"), F.col("n").alias("n_long"))
+    one = short.join(long, "t").select("short_id", "long_id", "n_short", "n_long", F.lit("one word more").alias("rule"))
+    bare = s.withColumn("long", F.filter("t", lambda w: F.length(w) > 1)).where(F.size("long") >= 2)
+    first = bare.groupBy("long").agg(F.min("id").alias("short_id"), F.min_by("n", "id").alias("n_short"))
+    same = bare.join(first, "long").where("id <> short_id").select("short_id", F.col("id").alias("long_id"), "n_short", F.col("n").alias("n_long"), F.lit("initials apart").alias("rule"))
+    return one.unionByName(same)
+
+
+_SLUG = r"list_filter(string_split(regexp_replace(list_extract(string_split(regexp_replace(lower({0}), '[?#].*$', ''), '/'), -1), '[^\p{{L}}\p{{M}}]+', ' ', 'g'), ' '), lambda x: x <> '')"
 
 
 @R.query(
     "words_in_slug",
-    r"""SELECT researcher_id, len(list_filter(string_split(trim(regexp_replace(lower(name), '[^a-z]+', ' ', 'g')), ' '), lambda x: contains(url, substr(x, 1, 3)))) AS n_words
-    FROM (SELECT researcher_id, min(name) AS name, min(lower(profile_url)) AS url FROM researchers WHERE name IS NOT NULL AND profile_url IS NOT NULL GROUP BY researcher_id)""",
+    f"""WITH r AS (SELECT researcher_id, min(name) AS name FROM researchers WHERE name IS NOT NULL GROUP BY researcher_id),
+    link AS (SELECT DISTINCT 'https://people.example/' || replace(lower(trim(name)), ' ', '-') AS url FROM researchers WHERE name IS NOT NULL),
+    w AS (SELECT researcher_id, {_WORDS.format("name")} AS t FROM r), s AS (SELECT url, {_SLUG.format("url")} AS seg FROM link),
+    hit AS (SELECT researcher_id, url, len(list_distinct(seg)) = len(t) AS exact FROM w JOIN s ON len(t) >= 2 AND list_has_all(seg, t)),
+    best AS (SELECT researcher_id, bool_or(exact) AS any_exact FROM hit GROUP BY researcher_id)
+    SELECT researcher_id, min(url) AS url, any_exact AS exact FROM hit JOIN best USING (researcher_id) WHERE exact OR NOT any_exact GROUP BY researcher_id, any_exact HAVING count(*) = 1""",
 )
 def words_in_slug(spark, d):
-    """Name words found in a profile link."""
-    r = table(spark, d, "researchers").where("name is not null and profile_url is not null").groupBy("researcher_id").agg(F.min("name").alias("name"), F.min(F.lower("profile_url")).alias("url"))
-    words = F.split(F.trim(F.regexp_replace(F.lower("name"), "[^a-z]+", " ")), " ")
-    return r.select("researcher_id", F.size(F.filter(words, lambda w: F.col("url").contains(F.substring(w, 1, 3)))).alias("n_words"))
+    """The one link of a directory whose last part holds all words of a name; links of exactly these words come first.
+
+    Two or more equally good links are no hit. The directory is made from the names themselves. Names meet
+    links by their rarest word; all other words are then compared whole.
+    """
+    r = _given(spark, d).select("researcher_id", _words("name").alias("t")).where(F.size("t") >= 2)
+    link = table(spark, d, "researchers").where("name is not null").select(F.concat(F.lit("https://people.example/"), F.replace(F.lower(F.trim("name")), F.lit(" "), F.lit("-"))).alias("url")).distinct()
+    last = F.element_at(F.split(F.regexp_replace("url", r"[?#].*$", ""), "/"), -1)
+    s = link.select("url", _words(last).alias("seg"))
+    by_word = s.select("url", "seg", F.explode("seg").alias("w"))
+    count = by_word.groupBy("w").agg(F.count(F.lit(1)).alias("n_links"))
+    rare = r.select("researcher_id", "t", F.explode("t").alias("w")).join(count, "w", "left").groupBy("researcher_id").agg(F.min(F.struct(F.coalesce("n_links", F.lit(0)).alias("n"), "w", "t")).alias("m"))
+    hit = rare.select("researcher_id", F.col("m.w").alias("w"), F.col("m.t").alias("t")).join(by_word, "w").where(F.size(F.array_except("t", "seg")) == 0)
+    ranked = hit.groupBy("researcher_id", (F.size("seg") == F.size("t")).alias("exact")).agg(F.min("url").alias("url"), F.count(F.lit(1)).alias("n"))
+    best = ranked.groupBy("researcher_id").agg(F.max(F.struct("exact", "url", "n")).alias("b"))
+    return best.where("b.n = 1").select("researcher_id", F.col("b.url").alias("url"), F.col("b.exact").alias("exact"))
 
 
 @R.query(
@@ -282,8 +326,8 @@ def label_propagation(spark, d):
 
 @R.query(
     "token_jaccard_best",
-    r"""WITH t AS (SELECT ref_id, list_distinct(string_split(trim(regexp_replace(lower(journal_title), '[^a-z0-9]+', ' ', 'g')), ' ')) AS w FROM journal_reference),
-    j AS (SELECT journal_id, list_distinct(string_split(trim(regexp_replace(lower(min(journal_name)), '[^a-z0-9]+', ' ', 'g')), ' ')) AS w FROM journals WHERE journal_name IS NOT NULL GROUP BY journal_id),
+    r"""WITH t AS (SELECT ref_id, list_distinct(string_split(trim(regexp_replace(lower(journal_title), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')), ' ')) AS w FROM journal_reference),
+    j AS (SELECT journal_id, list_distinct(string_split(trim(regexp_replace(lower(min(journal_name)), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')), ' ')) AS w FROM journals WHERE journal_name IS NOT NULL GROUP BY journal_id),
     p AS (SELECT journal_id, ref_id, len(list_intersect(j.w, t.w)) / len(list_distinct(list_concat(j.w, t.w))) AS s FROM j JOIN t ON len(list_intersect(list_filter(j.w, lambda x: length(x) > 3), t.w)) > 0)
     SELECT journal_id, ref_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY journal_id ORDER BY s DESC, ref_id) AS n FROM p WHERE s >= 0.6) WHERE n = 1""",
 )
@@ -379,12 +423,12 @@ def prune_unused(spark, d):
 
 @R.query(
     "set_overlap",
-    """WITH a AS (SELECT DISTINCT researcher_id, journal_id FROM publications WHERE source = 'doi registry' AND journal_id IS NOT NULL), b AS (SELECT DISTINCT researcher_id, journal_id FROM publications WHERE source = 'open index' AND journal_id IS NOT NULL)
+    """WITH a AS (SELECT DISTINCT researcher_id, journal_id FROM """ + _PUBS + """ WHERE source = 'doi registry' AND journal_id IS NOT NULL), b AS (SELECT DISTINCT researcher_id, journal_id FROM """ + _PUBS + """ WHERE source = 'open index' AND journal_id IS NOT NULL)
     SELECT 'both' AS part, count(*) AS n_rows FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'first only', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'second only', count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
 )
 def set_overlap(spark, d):
     """Overlap and differences of two sets, counted from one full outer pass."""
-    side = lambda s, n: table(spark, d, "publications").where((F.col("source") == s) & F.col("journal_id").isNotNull()).select("researcher_id", "journal_id").distinct().withColumn(n, F.lit(1))
+    side = lambda s, n: _sourced(spark, d).where((F.col("source") == s) & F.col("journal_id").isNotNull()).select("researcher_id", "journal_id").distinct().withColumn(n, F.lit(1))
     m = side("doi registry", "a").join(side("open index", "b"), ["researcher_id", "journal_id"], "full_outer")
     n = m.agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both"), F.count_if(F.col("b").isNull()).alias("first only"), F.count_if(F.col("a").isNull()).alias("second only"))
     return n.unpivot([], ["both", "first only", "second only"], "part", "n_rows")

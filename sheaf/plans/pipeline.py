@@ -105,5 +105,5 @@ def document_citations(spark, d):
     from sheaf.functions.citations import citations
 
     docs = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = docs.where(F.col("line").rlike(r"^[^.]{2,60}, .*\((19|20)\d{2}\)")).select((F.col("doc_id") * 100_000 + F.col("pos")).alias("key"), "line")
+    lines = docs.where(F.col("line").rlike(r"^[^.]+, .*\((19|20)\d{2}\)")).select(F.concat_ws(":", "doc_id", "pos").alias("key"), "line")
     return citations(lines, "key", "line")

@@ -16,7 +16,7 @@ who AS (SELECT group_name, segment, grouping(segment) AS g, count(DISTINCT c_cus
 i AS (SELECT group_name, segment, o_totalprice, o_orderpriority FROM orders JOIN c ON o_custkey = c_custkey),
 what AS (SELECT group_name, segment, grouping(segment) AS g, count(*) AS item_count,
   count(*) FILTER (WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')) AS ranked_count, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS top_tier_count,
-  (sum(CAST(round(o_totalprice * 100) AS BIGINT)) // count(*)) / 100 AS avg_metric FROM i GROUP BY GROUPING SETS ((group_name), (group_name, segment)))
+  ((2 * sum(CAST(round(o_totalprice * 100) AS BIGINT)) + count(*)) // (2 * count(*))) / 100 AS avg_metric FROM i GROUP BY GROUPING SETS ((group_name), (group_name, segment)))
 SELECT who.group_name, who.segment, CASE WHEN who.g = 1 THEN 'overall' ELSE 'segment' END AS level, entity_count, coalesce(item_count, 0) AS item_count,
   coalesce(ranked_count, 0) AS ranked_count, coalesce(top_tier_count, 0) AS top_tier_count, avg_metric, round(coalesce(item_count, 0) / nullif(entity_count, 0), 6) AS items_per_entity,
   row_number() OVER (PARTITION BY who.g, CASE WHEN who.g = 1 THEN '' ELSE who.segment END ORDER BY avg_metric DESC NULLS LAST, who.group_name) AS rank_no
@@ -32,7 +32,7 @@ def group_rollup(spark, d):
     metrics = {
         "ranked_count": F.count_if(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH", "3-MEDIUM")),
         "top_tier_count": F.count_if(F.col("o_orderpriority") == "1-URGENT"),
-        "avg_metric": (F.floor(F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint").cast("decimal(38,0)")) / F.count(F.lit(1))) / 100).cast("double"),
+        "avg_metric": F.round(F.sum(F.col("o_totalprice").cast("decimal(18,2)")) / F.count(F.lit(1)), 2).cast("double"),
     }
     got = rollup.two_grain_rollup(c, items, "group_name", "segment", "c_custkey", metrics)
     got = got.withColumns({k: F.coalesce(k, F.lit(0)) for k in ("ranked_count", "top_tier_count")}).withColumn("items_per_entity", F.round("items_per_entity", 6))

@@ -13,8 +13,8 @@ R = Registry()
 
 @R.query(
     "text_keys",
-    r"""SELECT publication_id, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS title_key, regexp_replace(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), '^(the|a|an) ', '') AS article_key,
-    regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') AS bare_key, replace(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' ', '-') AS slug FROM publications""",
+    r"""SELECT publication_id, trim(regexp_replace(lower(title), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')) AS title_key, regexp_replace(trim(regexp_replace(lower(title), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')), '^(the|a|an) ', '') AS article_key,
+    regexp_replace(lower(title), '[^\p{L}\p{M}\p{N}]+', '', 'g') AS bare_key, replace(trim(regexp_replace(lower(title), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')), ' ', '-') AS slug FROM publications""",
 )
 def text_keys(spark, d):
     """comparison keys."""

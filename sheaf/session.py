@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,15 +30,19 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The checkpoint folder: the session's spark.checkpoint.dir, else (unset, as in tests) an own one.
 
-    The setting is read from the session, so a cluster's shared folder is always the one used; a local
-    temporary folder is made only when nothing at all is configured.
+    The setting is read from the session, so a cluster's shared folder is always the one used; a temporary folder
+    is made only where nothing is configured and all runs on one machine, else that is an error.
     """
     sc = spark.sparkContext
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
-    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    path = named or tempfile.mkdtemp(prefix="sheaf-checkpoint-")
+    path = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="sheaf-checkpoint-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
     sc.setCheckpointDir(path)
     return path
 
@@ -51,10 +58,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def materialized(df: DataFrame) -> DataFrame:
-    """Like checkpointed, as a compressed table in the checkpoint folder; read back by any executor."""
-    import uuid
+    """Like checkpointed, as a compressed table in the checkpoint folder; read back by any executor.
 
+    The tables of an application lie in one folder, which is deleted when its Python process ends.
+    """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_delete, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_FOLDERS: set[str] = set()
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop, so that any storage works that Spark reads."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    try:
+        fs, p = hadoop_path(spark, folder)
+        fs.delete(p, True)
+    except Exception:  # noqa: BLE001, the session may have ended first
+        shutil.rmtree(folder.removeprefix("file:"), ignore_errors=True)

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sheaf.functions.text import first_filled, null_clean
+from sheaf.session import hadoop_path
 
 
 def read_csv(spark: SparkSession, path: str | list[str], sep: str = ",", clean: bool = True) -> DataFrame:
@@ -20,8 +24,8 @@ def read_csv(spark: SparkSession, path: str | list[str], sep: str = ",", clean:
     """
     try:
         df = spark.read.options(header=True, sep=sep, multiLine=True, escape='"', encoding="UTF-8").csv(path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return spark.createDataFrame([], "empty string").drop("empty")
     names = [c.lstrip("﻿").strip() for c in df.columns]
@@ -30,11 +34,23 @@ def read_csv(spark: SparkSession, path: str | list[str], sep: str = ",", clean:
 
 
 def read_partitioned(spark: SparkSession, root: str, kind: str, sep: str = ",") -> DataFrame:
-    """`<root>/<partition>/*_<kind>.csv` of all partitions, with partition, file and line order."""
-    raw = spark.read.options(header=True, sep=sep, escape='"').csv(f"{root}/*/*_{kind}.csv")
-    cells = [null_clean(F.col(f"`{c}`")).alias(c.lstrip("﻿").strip()) for c in raw.columns]
+    """`<root>/<partition>/*_<kind>.csv` of all partitions, with partition, file and line order.
+
+    Every partition is read under its own header and aligned by column name; what a partition lacks is null.
+    ord is the row's place in its file (rows of one file keep their order in what its splits number).
+    """
+    fs, at = hadoop_path(spark, root)
+    found = fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/*/*_{kind}.csv")) or []
+    folders = sorted({f.getPath().getParent().toString() for f in found})
     path = F.col("_metadata.file_path")
-    return raw.select(*cells, F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("partition"), path.alias("file"), F.monotonically_increasing_id().alias("ord"))
+    parts = []
+    for folder in folders:
+        raw = spark.read.options(header=True, sep=sep, escape='"', multiLine=True, encoding="UTF-8").csv(f"{folder}/*_{kind}.csv")
+        cells = [null_clean(F.col(f"`{c}`")).alias(c.lstrip("\ufeff").strip()) for c in raw.columns]
+        parts.append(raw.select(*cells, F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("partition"), path.alias("file"), F.monotonically_increasing_id().alias("ord")))
+    if not parts:
+        return spark.createDataFrame([], "partition string, file string, ord bigint")
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
 
 
 def read_json_rows(spark: SparkSession, path: str, schema: str | None = None, lines: bool = False) -> DataFrame:
@@ -78,10 +94,16 @@ def cache_stats(cache: DataFrame) -> DataFrame:
 
 
 def batches(keys: DataFrame, key: str, size: int) -> DataFrame:
-    """Distinct keys with a batch number of about `size` keys each, by hash, so no global order is needed."""
+    """Distinct keys with a batch number, never more than `size` keys a batch.
+
+    Keys are numbered within hash buckets of some thousand batches each, so no global order is needed.
+    """
     distinct = keys.select(key).where(F.col(key).isNotNull()).distinct()
-    n = max(1, -(-distinct.count() // size))
-    return distinct.withColumn("batch_no", F.pmod(F.xxhash64(key), F.lit(n)))
+    per = 1000 * size
+    buckets = max(1, -(-distinct.count() // per))
+    placed = distinct.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    at = F.row_number().over(W.partitionBy("_b").orderBy(key))
+    return placed.withColumn("_n", F.floor((at - 1) / size)).select(key, (F.col("_n") * buckets + F.col("_b")).alias("batch_no"))
 
 
 def incomplete_batches(asked: DataFrame, answered: DataFrame, key: str) -> DataFrame:

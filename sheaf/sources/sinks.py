@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.functions.text import csv_safe
+from sheaf.session import hadoop_path
 
 
 def flat_text(df: DataFrame) -> DataFrame:
@@ -42,24 +42,48 @@ def write_audit(dropped: DataFrame, path: str) -> None:
     dropped.write.mode("overwrite").parquet(path)
 
 
-def publish(df: DataFrame, root: str) -> str:
+def publish(df: DataFrame, root: str, batch_id: int | None = None) -> str:
     """Writes a new version beside the old ones and then moves the pointer file, so readers see one or the other.
 
-    The pointer is a local or mounted file that is replaced in one step; earlier versions stay as backups.
+    The pointer is replaced through Hadoop's file system, on whatever storage root lies; earlier versions stay as
+    backups. With batch_id, the pointer also says which batch was the last, see published_batch.
     """
+    spark = df.sparkSession
     version = f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{root}/{version}")
-    os.makedirs(root, exist_ok=True)
-    draft = os.path.join(root, f".{version}")
-    with open(draft, "w") as f:
-        json.dump({"version": version}, f)
-    os.replace(draft, os.path.join(root, "current.json"))
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs, draft = hadoop_path(spark, f"{root}/.draft-{version}")
+    out = fs.create(draft, True)
+    out.write(bytearray(json.dumps({"version": version, "batch": batch_id}).encode()))
+    out.close()
+    over = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
+    over[0] = jvm.Options.Rename.OVERWRITE
+    target = jvm.Path(f"{root}/{POINTER}")
+    jvm.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(draft), fs.makeQualified(target), over)
     return version
 
 
+POINTER = "current.json"
+
+
+def _pointer(spark: SparkSession, root: str) -> dict:
+    fs, at = hadoop_path(spark, f"{root}/{POINTER}")
+    if not fs.exists(at):
+        raise FileNotFoundError(f"{root}/{POINTER}")
+    return json.loads(spark.read.text(f"{root}/{POINTER}", wholetext=True).first()[0])
+
+
 def published(spark: SparkSession, root: str) -> DataFrame:
-    with open(os.path.join(root, "current.json")) as f:
-        return spark.read.parquet(f"{root}/{json.load(f)['version']}")
+    """The current version; FileNotFoundError where nothing was published."""
+    return spark.read.parquet(f"{root}/{_pointer(spark, root)['version']}")
+
+
+def published_batch(spark: SparkSession, root: str) -> int | None:
+    """The batch that was published last, None where there is none."""
+    try:
+        return _pointer(spark, root).get("batch")
+    except FileNotFoundError:
+        return None
 
 
 def quality_report(df: DataFrame, checks: dict[str, str]) -> DataFrame:

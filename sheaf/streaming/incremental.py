@@ -30,19 +30,26 @@ def run_available(stream: DataFrame, checkpoint: str, out: str, mode: str = "app
     return q
 
 
-def upsert_available(stream: DataFrame, checkpoint: str, root: str, key: str) -> StreamingQuery:
-    """Each micro-batch merged into a published table, the last row of a key winning; versions are swapped whole."""
+def upsert_available(stream: DataFrame, checkpoint: str, root: str, key: str, order: str | None = None) -> StreamingQuery:
+    """Each micro-batch merged into a published table, the last row of a key winning; versions are swapped whole.
+
+    Within a batch the last row is the one with the greatest order (equal ones, or without order all, by their
+    values). The pointer names the batch it holds, so a batch that is replayed after a failure changes nothing.
+    """
     from sheaf.operators.dedup import last_rows
-    from sheaf.sources.sinks import publish, published
+    from sheaf.sources.sinks import publish, published, published_batch
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        new = last_rows(batch.withColumn("_b", F.monotonically_increasing_id()), [key], [F.col("_b")]).drop("_b")
+        spark = batch.sparkSession
+        done = published_batch(spark, root)
+        if done is not None and done >= batch_id:
+            return
+        new = last_rows(batch, [key], [F.col(order)] if order else [])
         try:
-            old = published(batch.sparkSession, root).join(new.select(key), key, "left_anti")
-            new = old.unionByName(new)
+            new = published(spark, root).join(new.select(key), key, "left_anti").unionByName(new)
         except FileNotFoundError:
             pass
-        publish(new, root)
+        publish(new, root, batch_id)
 
     q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
