@@ -47,7 +47,7 @@ def read_partitioned(spark: SparkSession, root: str, kind: str, sep: str = ",")
     for folder in folders:
         raw = spark.read.options(header=True, sep=sep, escape='"', multiLine=True, encoding="UTF-8").csv(f"{folder}/*_{kind}.csv")
         cells = [null_clean(F.col(f"`{c}`")).alias(c.lstrip("\ufeff").strip()) for c in raw.columns]
-        parts.append(raw.select(*cells, F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("partition"), path.alias("file"), F.monotonically_increasing_id().alias("ord")))
+        parts.append(raw.select(*cells, F.lit(folder.rsplit("/", 1)[-1]).alias("partition"), path.alias("file"), F.monotonically_increasing_id().alias("ord")))
     if not parts:
         return spark.createDataFrame([], "partition string, file string, ord bigint")
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
