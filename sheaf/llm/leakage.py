@@ -64,9 +64,9 @@ class Automaton:
     """Blocks of the items' words; every common run of min_words words holds a whole block, and is then extended.
 
     Blocks of (min_words + 1) // 2 words are taken at that stride, so that each run of min_words words
-    covers one of them entirely; items shorter than min_words can't be contained. The automaton's letters are words.
-    A run is longer than a block, so it goes on with the word before or after it: of the items that share a
-    block only those with one of these two words are looked at.
+    covers one of them entirely; items shorter than min_words can't be contained. A run is longer than a block, so it
+    goes on with the word before or after it: of the items that share a block only those with one of these two words
+    are looked at.
     """
 
     def __init__(self, items: list[tuple[int, str]], min_words: int):
@@ -74,19 +74,17 @@ class Automaton:
 
         self.min_words, self.size = min_words, (min_words + 1) // 2
         self.items: list[tuple[int, list[str]]] = [(item, words(text)) for item, text in items]
-        self.number: dict[str, int] = {}
-        posts: dict[tuple[int, ...], dict[tuple[int, str], list[tuple[int, int]]]] = {}
+        posts: dict[str, dict[tuple[int, str], list[tuple[int, int]]]] = {}
         for n, (_, w) in enumerate(self.items):
             if len(w) >= min_words:
-                codes = [self.number.setdefault(x, len(self.number) + 1) for x in w]
                 for k in range(0, len(w) - self.size + 1, self.size):
-                    near = posts.setdefault(tuple(codes[k : k + self.size]), {})
+                    near = posts.setdefault(" " + " ".join(w[k : k + self.size]) + " ", {})
                     for side, at in ((0, k - 1), (1, k + self.size)):
                         if 0 <= at < len(w):
                             near.setdefault((side, w[at]), []).append((n, k))
-        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        self.machine = ahocorasick.Automaton()
         for block, near in posts.items():
-            self.machine.add_word(block, near)
+            self.machine.add_word(block, (near, len(block)))
         if posts:
             self.machine.make_automaton()
         self.empty = not posts
@@ -95,16 +93,20 @@ class Automaton:
         """item -> (first word, last word + 1) of every common run that is long enough."""
         if self.empty or len(doc) < self.min_words:
             return {}
-        get = self.number.get
+        line = " " + " ".join(doc) + " "
         found: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        for end, near in self.machine.iter(tuple([get(w, 0) for w in doc])):
-            word = end - self.size + 1
+        at, word = 0, 0
+        for last, (near, length) in self.machine.iter(line):
+            begin = last - length + 1
+            word += line.count(" ", at, begin)
+            at = begin
+            end = word + self.size
             hits = set(near.get((0, doc[word - 1]), ()) if word else ())
-            if end + 1 < len(doc):
-                hits.update(near.get((1, doc[end + 1]), ()))
+            if end < len(doc):
+                hits.update(near.get((1, doc[end]), ()))
             for n, k in hits:
                 item, w = self.items[n]
-                i, j = word, word + self.size
+                i, j = word, end
                 a, b = k, k + self.size
                 while i > 0 and a > 0 and doc[i - 1] == w[a - 1]:
                     i, a = i - 1, a - 1
@@ -131,37 +133,47 @@ def item_blocks(items: DataFrame, id_col: str, text_cols: list[str], block_chars
         yield block
 
 
-def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, min_words: int = 13, block_chars: int = 16_000_000) -> DataFrame:
+def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, min_words: int = 13, block_chars: int = 4_000_000, held_chars: int = 64_000_000) -> DataFrame:
     """(doc_id, item_id, start, end, run_words): every run of min_words or more words of an item in a document.
 
-    start and end are offsets in the original text. The items are the query set: one automaton of all of them
-    is built in each task, and documents are scanned once, without a shuffle. Only test material of more than
-    block_chars characters, which no task could hold, is cut into several automata and scans, with the same result. Null or empty
-    texts hold nothing; items shorter than min_words can't be found; repeated rows give repeated results.
+    start and end are offsets in the original text. The items are the query set and go to every task; documents
+    are read, normalised and scanned in one pass without a shuffle. Items of up to block_chars characters (some
+    300 MB as automaton) are one automaton, built once per task. More items, which would not fit into a task, are
+    several automata, which a task builds one after the other for each held_chars characters of documents it holds;
+    the result is the same. Null or empty texts hold nothing; items shorter than min_words can't be found; repeated
+    rows give repeated results.
     """
     slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.length("text") > 0)
-    out = None
-    for block in item_blocks(items.where(F.col(item_id).isNotNull()), item_id, [item_text], block_chars):
-        part = _scan(slim, block, min_words)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else _scan(slim, [], min_words)
-
-
-def _scan(slim: DataFrame, block: list[tuple[int, str]], min_words: int) -> DataFrame:
-    shared = slim.sparkSession.sparkContext.broadcast(block)
+    blocks = list(item_blocks(items.where(F.col(item_id).isNotNull()), item_id, [item_text], block_chars))
+    shared = slim.sparkSession.sparkContext.broadcast(blocks)
+
+    def scan(machine: Automaton, held: list[tuple[int, str, list[str]]]) -> pa.RecordBatch:
+        rows: list[tuple] = []
+        for doc, body, w in held:
+            hits = machine.runs(w)
+            if hits:
+                places = word_offsets(body)
+                for item, spans in hits.items():
+                    rows += [(doc, item, places[i][0], places[j - 1][1], j - i) for i, j in spans]
+        cols = list(zip(*rows)) if rows else [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "start", "end", "run_words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Automaton(shared.value, min_words)
+        parts = shared.value
+        only = Automaton(parts[0] if parts else [], min_words) if len(parts) < 2 else None
+        held: list[tuple[int, str, list[str]]] = []
+        size = 0
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                w = words(body)
-                hits = machine.runs(w)
-                if hits:
-                    places = word_offsets(body)
-                    for item, spans in hits.items():
-                        rows += [(doc, item, places[i][0], places[j - 1][1], j - i) for i, j in spans]
-            cols = list(zip(*rows)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "start", "end", "run_words"])
+            read = [(doc, body, words(body)) for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            if only:
+                yield scan(only, read)
+                continue
+            held += read
+            size += sum(len(body) for _, body, _ in read)
+            if size >= held_chars:
+                yield from (scan(Automaton(p, min_words), held) for p in parts)
+                held, size = [], 0
+        if held:
+            yield from (scan(Automaton(p, min_words), held) for p in parts)
 
     return slim.mapInArrow(run, "doc_id bigint, item_id bigint, start bigint, end bigint, run_words bigint")
