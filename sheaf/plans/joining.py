@@ -453,7 +453,17 @@ def withdraw_before_inception(spark, d):
     return p.select("publication_id", F.when(~F.coalesce(F.col("year") < F.col("y"), F.lit(False)), F.col("quality_rank")).alias("quality_rank"))
 
 
-@R.query("issn_orcid_checks", None)
+@R.query(
+    "issn_orcid_checks",
+    """WITH c AS (SELECT DISTINCT journal_id, regexp_extract_all(upper(issn), '[0-9]{4}-?[0-9]{3}[0-9X]') AS f FROM journals),
+    i AS (SELECT DISTINCT journal_id, replace(x, '-', '') AS t FROM (SELECT journal_id, unnest(CASE WHEN f IS NULL OR len(f) = 0 THEN [NULL] ELSE f END) AS x FROM c)),
+    iv AS (SELECT CASE WHEN t IS NULL THEN 'none' ELSE CAST(substr(t, 8, 1) = CASE (11 - list_sum(list_transform(range(1, 8), lambda k: (9 - k) * CAST(substr(t, CAST(k AS INT), 1) AS INT))) % 11) % 11 WHEN 10 THEN 'X'
+      ELSE CAST(CAST((11 - list_sum(list_transform(range(1, 8), lambda k: (9 - k) * CAST(substr(t, CAST(k AS INT), 1) AS INT))) % 11) % 11 AS INT) AS VARCHAR) END AS VARCHAR) END AS valid FROM i),
+    o AS (SELECT DISTINCT researcher_id, nullif(regexp_extract(replace(upper(orcid), '-', ''), '([0-9]{15}[0-9X])', 1), '') AS t FROM researchers),
+    s AS (SELECT researcher_id, t, CAST((12 - list_sum(list_transform(range(1, 16), lambda k: CAST(substr(t, CAST(k AS INT), 1) AS BIGINT) * (1 << (16 - k)))) % 11) % 11 AS INT) AS n FROM o),
+    ov AS (SELECT CASE WHEN t IS NULL THEN 'none' ELSE CAST(substr(t, 16, 1) = CASE n WHEN 10 THEN 'X' ELSE CAST(n AS VARCHAR) END AS VARCHAR) END AS valid FROM s)
+    SELECT 'issn' AS kind, valid, count(*) AS n_rows FROM iv GROUP BY valid UNION ALL SELECT 'orcid', valid, count(*) FROM ov GROUP BY valid""",
+)
 def issn_orcid_checks(spark, d):
     """Shapes and check digits of identifiers."""
     i = table(spark, d, "journals").select("journal_id", F.explode_outer(identifiers.issns("issn")).alias("issn")).distinct()

@@ -46,7 +46,17 @@ def tidy_names(spark, d):
     return j.select("journal_id", F.col("journal_name").alias("old_name"), text.drop_repository("journal_name").alias("venue")).distinct()
 
 
-@R.query("title_case")
+_SMALL = ", ".join(f"'{w}'" for w in text.SMALL_WORDS)
+
+
+@R.query(
+    "title_case",
+    rf"""SELECT DISTINCT journal_id, array_to_string(list_transform(list_filter(regexp_split_to_array(trim(replace(journal_name, '&', 'and'), ' '), ' +'), lambda w: w <> ''), lambda w, i: CASE WHEN i > 1 AND lower(w) IN ({_SMALL}) THEN lower(w)
+      WHEN length(w) <= 4 AND regexp_matches(w, '^[A-Z]{{2,}}$') AND lower(w) NOT IN ({_SMALL}) THEN w ELSE upper(substr(w, 1, 1)) || lower(substr(w, 2)) END), ' ') AS tidy,
+    letters <> '' AND (letters = upper(letters) OR letters = lower(letters)) AS one_case,
+    CASE WHEN len(regexp_split_to_array(trim(journal_name, ' '), ' +')) < 4 THEN journal_name WHEN regexp_matches(journal_name, '[a-z][0-9]$') THEN substr(journal_name, 1, length(journal_name) - 1) ELSE regexp_replace(journal_name, '[*†‡]+\s*$', '') END AS no_mark
+    FROM (SELECT *, regexp_replace(journal_name, '[^\p{{L}}]', '', 'g') AS letters FROM journals) WHERE journal_name IS NOT NULL""",
+)
 def title_case(spark, d):
     """tidied names, single case, footnote marks."""
     j = table(spark, d, "journals").where("journal_name is not null").select("journal_id", "journal_name").distinct()
@@ -164,7 +174,7 @@ def json_props(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
 
 
-@R.query("json_ragged")
+@R.query("json_ragged", "SELECT event_id, TRY_CAST(json_extract(props, '$.k') AS INT) AS k, CAST(NULL AS VARCHAR) AS missing FROM events")
 def json_ragged(spark, d):
     """Ragged payloads as VARIANT; a path that isn't there is null."""
     e = table(spark, d, "events").select("event_id", F.try_parse_json("props").alias("v"))
