@@ -22,22 +22,26 @@ from sheaf.session import materialized
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
-def _encoder(path: str):
+def _encoder(name: str, vocabulary: bytes):
     import tiktoken
 
     #: Fixed value: the pattern that splits text before the merges of this kind of vocabulary.
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+    return tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_sizes(docs: DataFrame, doc_id: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, tokens) of every document with an id; null texts have none. The vocabulary is read from the path in each task."""
+    """(doc_id, tokens) of every document with an id; null texts have none.
+
+    The vocabulary file (a megabyte or so) is read from the path on the driver and sent to the executors, which needn't have it.
+    """
     slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.col("doc_id").isNotNull())
+    with open(tokenizer, "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast((os.path.basename(tokenizer), f.read()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer).encode_ordinary
+        encode = _encoder(*shared.value).encode_ordinary
         for b in batches:
             sizes = [len(encode(t)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], ["doc_id", "tokens"])
