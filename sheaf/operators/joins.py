@@ -85,9 +85,10 @@ def add_missing(held: DataFrame, found: DataFrame, keys: Sequence[Sequence[str]]
 
 
 def best_match(df: DataFrame, candidates: DataFrame, on: Sequence[str], row_id: str, order: Sequence[Column]) -> DataFrame:
-    """Left join to the best candidate of the same key, by the given order."""
+    """Left join to the best candidate of the same key, by the given order; the best one is a combinable minimum, not a window."""
     pairs = df.join(candidates, list(on), "left")
-    return one_per_key(pairs, [row_id], order)
+    best = pairs.groupBy(row_id).agg(F.min(F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], F.struct(*[F.col(c) for c in pairs.columns]).alias("_row"))).alias("_m"))
+    return best.select("_m._row.*")
 
 
 def merge_sources(first: DataFrame, second: DataFrame, on: Sequence[str], fill: Sequence[str], names: tuple[str, str]) -> DataFrame:

@@ -209,10 +209,16 @@ def merge_fill_full_outer(spark, d):
     SELECT researcher_id, CASE WHEN min(c) = max(c) THEN min(c) END AS candidate, CASE WHEN min(c) = max(c) THEN 'unique' ELSE 'ambiguous' END AS status FROM p GROUP BY researcher_id""",
 )
 def exactly_one_candidate(spark, d):
-    """Candidates by an exploded key and a second attribute; only a single one counts."""
-    r = table(spark, d, "researchers").where("name is not null").select("researcher_id", F.col("field_of_research").alias("f"), F.lower(F.element_at(F.split("name", " "), -1)).alias("s"), "university").distinct()
-    b = r.select("f", "s", F.col("researcher_id").alias("candidate"))
-    return joins.exactly_one(r.join(b, ["f", "s"]).where("researcher_id <> candidate"), "researcher_id", "candidate")
+    """Candidates by an exploded key and a second attribute; only a single one counts.
+
+    By counts and extremes of each key instead of its pairs: a key of two people gives each the other, one of more is ambiguous.
+    """
+    r = table(spark, d, "researchers").where("name is not null and field_of_research is not null").select("researcher_id", F.col("field_of_research").alias("f"), F.lower(F.element_at(F.split("name", " "), -1)).alias("s")).distinct()
+    g = r.groupBy("f", "s").agg(F.count(F.lit(1)).alias("n"), F.min("researcher_id").alias("lo"), F.max("researcher_id").alias("hi")).where("n > 1")
+    other = F.when(F.col("n") == 2, F.col("lo") + F.col("hi") - F.col("researcher_id"))
+    c = r.join(g, ["f", "s"]).groupBy("researcher_id").agg(F.min(other).alias("a"), F.max(other).alias("b"), F.max("n").alias("n"))
+    one = (F.col("n") == 2) & (F.col("a") == F.col("b"))
+    return c.select("researcher_id", F.when(one, F.col("a")).alias("candidate"), F.when(one, "unique").otherwise("ambiguous").alias("status"))
 
 
 @R.query("identifier_conflict", "SELECT a.researcher_id AS left_id, b.researcher_id AS right_id FROM (SELECT DISTINCT researcher_id, orcid, university FROM researchers) a JOIN (SELECT DISTINCT researcher_id, orcid, university FROM researchers) b ON a.orcid = b.orcid AND a.university <> b.university AND a.researcher_id < b.researcher_id")
