@@ -273,7 +273,7 @@ _SLUG = r"list_filter(string_split(regexp_replace(list_extract(string_split(rege
 @R.query(
     "words_in_slug",
     f"""WITH r AS (SELECT researcher_id, min(name) AS name FROM researchers WHERE name IS NOT NULL GROUP BY researcher_id),
-    link AS (SELECT DISTINCT 'https://people.example/' || replace(lower(trim(name)), ' ', '-') AS url FROM researchers WHERE name IS NOT NULL),
+    link AS (SELECT DISTINCT 'https://people.example/' || replace(lower(trim(name, ' ')), ' ', '-') AS url FROM researchers WHERE name IS NOT NULL),
     w AS (SELECT researcher_id, {_WORDS.format("name")} AS t FROM r), s AS (SELECT url, {_SLUG.format("url")} AS seg FROM link),
     hit AS (SELECT researcher_id, url, len(list_distinct(seg)) = len(t) AS exact FROM w JOIN s ON len(t) >= 2 AND list_has_all(seg, t)),
     best AS (SELECT researcher_id, bool_or(exact) AS any_exact FROM hit GROUP BY researcher_id)
