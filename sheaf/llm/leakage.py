@@ -18,6 +18,7 @@ _TAG = re.compile(_MARKUP, re.S)
 _ENTITY = re.compile(r"&#?\w{1,31};")
 _MARKED = re.compile(f"(?P<tag>{_MARKUP})|{_ENTITY.pattern}", re.S)
 _WORD = re.compile(r"[^\W_]+")
+_ASCII_WORD = re.compile("[a-z0-9]+")
 _SPLIT = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
 
 
@@ -28,32 +29,54 @@ def words(text: str) -> list[str]:
     if "&" in text:
         text = _ENTITY.sub(lambda m: html.unescape(m.group()), text)
     if text.isascii():
-        return _WORD.findall(text.lower())
+        return _ASCII_WORD.findall(text.lower())
     return _WORD.findall(_SPLIT.sub("", unicodedata.normalize("NFKC", text)).casefold())
 
 
+_PLAIN = re.compile("[\x00-\x7f]+")
+
+
 def word_offsets(text: str) -> list[tuple[int, int]]:
     """Place in the original of each of words(text): the same steps, each character with where it came from."""
-    chars: list[tuple[str, int, int]] = []
+    parts: list[str] = []
+    begins: list[int] = []
+    ends: list[int] = []
     at = 0
     for m in _MARKED.finditer(text):
-        chars += [(text[i], i, i + 1) for i in range(at, m.start())]
         new = " " if m.lastgroup == "tag" else html.unescape(m.group())
-        chars += [(c, m.start(), m.end()) for c in new]
+        parts += [text[at : m.start()], new]
+        begins += [*range(at, m.start()), *[m.start()] * len(new)]
+        ends += [*range(at + 1, m.start() + 1), *[m.end()] * len(new)]
         at = m.end()
-    chars += [(text[i], i, i + 1) for i in range(at, len(text))]
+    parts.append(text[at:])
+    begins += range(at, len(text))
+    ends += range(at + 1, len(text) + 1)
+    s = "".join(parts)
+    if s.isascii():
+        return [(begins[m.start()], ends[m.end() - 1]) for m in _WORD.finditer(s.lower())]
     # characters that may join the one before them are normalised together with it
-    out, begins, ends, i = [], [], [], 0
-    while i < len(chars):
-        j = i + 1
-        while j < len(chars) and _joins(chars[j][0]):
-            j += 1
-        new = _SPLIT.sub("", unicodedata.normalize("NFKC", "".join(c for c, _, _ in chars[i:j]))).casefold()
-        out.append(new)
-        begins += [chars[i][1]] * len(new)
-        ends += [chars[j - 1][2]] * len(new)
+    out: list[str] = []
+    first: list[int] = []
+    last: list[int] = []
+    i, n = 0, len(s)
+    while i < n:
+        j = i
+        if m := _PLAIN.match(s, i):
+            j = m.end() - (m.end() < n and _joins(s[m.end()]))
+        if j > i:
+            out.append(s[i:j].lower())
+            first += begins[i:j]
+            last += ends[i:j]
+        else:
+            j = i + 1
+            while j < n and _joins(s[j]):
+                j += 1
+            new = _SPLIT.sub("", unicodedata.normalize("NFKC", s[i:j])).casefold()
+            out.append(new)
+            first += [begins[i]] * len(new)
+            last += [ends[j - 1]] * len(new)
         i = j
-    return [(begins[m.start()], ends[m.end() - 1]) for m in _WORD.finditer("".join(out))]
+    return [(first[m.start()], last[m.end() - 1]) for m in _WORD.finditer("".join(out))]
 
 
 def _joins(c: str) -> bool:
