@@ -198,19 +198,23 @@ def html_parts(df: DataFrame, key: str, html: str, card_class: str = "card") ->
     """(key, pos, kind, name, value, extra) of stored pages: meta, heading, property, item, link and card parts.
 
     Pages are parsed one by one in Arrow batches; unclosed tags are closed by their parents; null pages give
-    no rows.
+    no rows; a page that can't be parsed gives one row of kind error with the reason.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             rows = []
             for k, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                p = _Page(card_class)
-                p.feed(page)
-                p.close()
-                while p.stack:
-                    p.handle_endtag(p.stack[-1][0])
-                rows += [(k, i, *r) for i, r in enumerate(p.rows, 1)]
+                try:
+                    p = _Page(card_class)
+                    p.feed(page)
+                    p.close()
+                    while p.stack:
+                        p.handle_endtag(p.stack[-1][0])
+                except Exception as e:  # noqa: BLE001, one bad page is a row, not the end of the job
+                    rows.append((k, 0, "error", type(e).__name__, str(e), ""))
+                else:
+                    rows += [(k, i, *r) for i, r in enumerate(p.rows, 1)]
             cols = list(zip(*rows)) if rows else [()] * 6
             kinds = [pa.string(), pa.int32()] + [pa.string()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["key", "pos", "kind", "name", "value", "extra"])

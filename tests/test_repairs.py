@@ -26,3 +26,10 @@ def test_partitions_with_different_headers(spark, tmp_path):
     got = {r.partition: (r.x, r.y, r.z) for r in readers.read_partitioned(spark, str(tmp_path), "t").collect()}
     assert got == {"a": ("1", "2", None), "b": (None, "3\n4", "5")}
     assert readers.read_partitioned(spark, str(tmp_path), "nothing").count() == 0
+
+
+def test_a_bad_page_is_a_row(spark):
+    pages = [("a", "<h2>Ok</h2>"), ("b", "<![x[ <h2>"), ("c", None), ("d", "<p>" * 5000 + "deep"), ("e", "")]
+    got = readers.html_parts(spark.createDataFrame(pages, "k string, p string"), "k", "p").collect()
+    assert [(r.key, r.kind, r.value) for r in got if r.key == "a"] == [("a", "heading", "Ok")]
+    assert {r.kind for r in got if r.key in "bcde"} <= {"error", "heading"}
