@@ -1,7 +1,7 @@
 """Enrichment and linking joins. None collects a group or multiplies rows beyond what its name says.
 
 Sides are left to AQE, which broadcasts what is small by its measured size and splits hot keys of shuffled
-joins; no side is broadcast by a hint.
+joins. By hint only the one-row bitmap of contains_join is broadcast, and its join of texts is a sort-merge join.
 """
 
 from __future__ import annotations
@@ -131,18 +131,35 @@ def contains_join(df: DataFrame, text: str, phrases: DataFrame, phrase: str, max
     With max_phrases, a rule table that should be short is checked, and more phrases are an error.
 
     Phrases of four or more characters meet a text by an equality join on the four characters they begin with, shorter ones,
-    of which there can only be few kinds, by their own length; contains() then decides.
+    of which there can only be few kinds, by their own length; contains() then decides. A text's runs of characters that no
+    phrase begins with are left out by a bitmap of fixed size before they become rows, and the join is a sort-merge join: from
+    the file's size alone Spark would take the texts, repeated for each run, for the smaller side and broadcast them.
     """
     rules = phrases.select(F.col(phrase).alias("_phrase")).where(F.col(phrase) != "").distinct().withColumn("_low", F.lower("_phrase"))
     if max_phrases is not None and rules.limit(max_phrases + 1).count() > max_phrases:
         raise ValueError(f"more than {max_phrases} phrases")
     rules = rules.withColumn("_gram", F.substring("_low", 1, 4))
-    low = df.withColumn("_row", F.struct("*")).select("_row", F.lower(text).alias("_text"))
-    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("_text")), lambda i: F.transform(F.array(*[F.lit(k) for k in (1, 2, 3, 4)]), lambda k: F.substr("_text", i, k)))))
-    hits = low.where(F.length("_text") > 0).withColumn("_gram", F.explode(grams)).join(rules, "_gram").where(F.contains("_text", F.col("_low")))
+    begins = _bitmap(rules, "_gram").withColumnRenamed("_lengths", "_ks")
+    low = df.withColumn("_row", F.struct("*")).select("_row", F.lower(text).alias("_text")).where(F.length("_text") > 0).crossJoin(F.broadcast(begins))
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.length("_text")), lambda i: F.transform("_ks", lambda k: F.substr("_text", i, k))))
+    known = F.array_distinct(F.filter(grams, lambda g: F.getbit(F.get("_words", F.shiftright(_bit(g), 6)), F.pmod(_bit(g), F.lit(64)).cast("int")) == 1))
+    hits = low.select("_row", "_text", F.explode(known).alias("_gram")).join(rules.hint("merge"), "_gram").where(F.contains("_text", F.col("_low")))
     return hits.select("_row.*", F.col("_phrase").alias(phrase))
 
 
+def _bit(value: Column | str) -> Column:
+    """A value's place in a bitmap of 512 words of 64 bits."""
+    return F.pmod(F.xxhash64(value), F.lit(512 * 64)).cast("int")
+
+
+def _bitmap(df: DataFrame, col: str) -> DataFrame:
+    """One row: _words, the bits of all values of col, and _lengths, the lengths they have; 4 KB however many values there are."""
+    words = df.select(F.shiftright(_bit(col), 6).alias("_w"), F.expr(f"shiftleft(1L, pmod(xxhash64({col}), 64L)::int)").alias("_b"), F.length(col).alias("_n"))
+    words = words.groupBy("_w").agg(F.bit_or("_b").alias("_b"), F.collect_set("_n").alias("_n"))
+    one = words.agg(F.map_from_entries(F.collect_list(F.struct("_w", "_b"))).alias("_m"), F.array_distinct(F.flatten(F.collect_list("_n"))).alias("_lengths"))
+    return one.select(F.transform(F.sequence(F.lit(0), F.lit(511)), lambda w: F.coalesce(F.col("_m")[w], F.lit(0).cast("bigint"))).alias("_words"), "_lengths")
+
+
 def anti_both(used: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """(side, key): keys used but unknown, and known but unused."""
     a = used.select(key).where(F.col(key).isNotNull()).distinct()

@@ -66,6 +66,25 @@ def test_contains_join_checks_its_size(spark):
     raise AssertionError("no error")
 
 
+def test_contains_join_never_broadcasts_the_texts(spark):
+    df = spark.range(500).select("id", F.concat(F.lit("Journal of Audit and Credit no "), F.col("id").cast("string")).alias("t"))
+    got = joins.contains_join(df, "t", spark.createDataFrame([("audit",), ("ledger",)], "phrase string"), "phrase")
+    assert rows(got, "id", "phrase") == rows(df.select("id", F.lit("audit").alias("phrase")))
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_contains_join_is_brute_force(spark):
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("abC é\U0001d4b3") for _ in range(n))
+    texts = [(i, word(rnd.randrange(12))) for i in range(150)] + [(999, None)]
+    phrases = sorted({word(1 + rnd.randrange(6)) for _ in range(400)} | {"zz", "longer than a text"})
+    df = spark.createDataFrame(texts, "id int, t string")
+    rules = spark.createDataFrame([(p,) for p in [*phrases, *phrases[:9], "", None]], "phrase string")
+    want = sorted([(i, p) for i, t in texts if t for p in phrases if p.lower() in t.lower()], key=repr)
+    assert rows(joins.contains_join(df, "t", rules, "phrase"), "id", "phrase") == want
+    assert rows(joins.contains_join(df, "t", rules.where("phrase is null or phrase = ''"), "phrase")) == []
+
+
 def test_rollup_keeps_groups_without_items(spark):
     who = spark.createDataFrame([(1, "u", "f"), (2, "u", "g"), (3, "w", None)], "id int, uni string, field string")
     items = spark.createDataFrame([(1, "u", "f", 2.0), (1, "u", "f", None)], "id int, uni string, field string, m double")
